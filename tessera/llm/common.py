@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +125,13 @@ def texts(array: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.nd
 
 def strings(array: pa.Array) -> list[str]:
     return pc.fill_null(array, "").to_pylist() if array.null_count else array.to_pylist()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
