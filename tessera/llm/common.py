@@ -19,14 +19,26 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 BLOCK = 1 << 20
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: executors may be lost afterwards."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there: executors may be lost afterwards."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,9 +79,9 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 class Words:
     """The words of some texts of a batch. starts, ends: byte places in data; first: for each text, and after the last, the index of its first word."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACES):
         n = len(data)
-        word = ~SPACES[data]
+        word = ~separators[data]
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         before = np.concatenate(([False], word[:-1])) if n else word
@@ -125,13 +137,3 @@ def texts(array: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.nd
 
 def strings(array: pa.Array) -> list[str]:
     return pc.fill_null(array, "").to_pylist() if array.null_count else array.to_pylist()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -25,13 +25,16 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, normalised text as norm."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+def exact_groups(docs: DataFrame, salts: int = SALTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and the columns of carry as carry_0,
+    carry_1 and so on."""
+    others = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    names = [f"carry_{k}" for k in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *others, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
     counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     counted = rows.join(counts, "digest")
-    alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", "norm")
-    several = counted.where("n > 1").select("doc_id", "digest", "norm")
+    alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", *names)
+    several = counted.where("n > 1").select("doc_id", "digest", normalised(F.col("text")).alias("norm"), *names)
     # min() skips nulls: a null id is carried by a flag, as it sorts first.
     merged = (
         several.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
@@ -40,12 +43,12 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
     winners = merged.groupBy("digest", "norm").agg(F.min("low").alias("low"), F.sum("n").alias("group_size"), F.max("blank").alias("blank"))
     winners = winners.select("digest", "norm", F.when(F.col("blank") == 0, F.col("low")).alias("keep_id"), "group_size")
-    shared = several.join(winners, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "digest", "norm")
-    return alone.unionByName(shared).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "norm")
+    shared = several.join(winners, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "digest", *names)
+    return alone.unionByName(shared).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *names)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(scan(spark, sf_dir, "documents")).drop("norm")
+    return exact_groups(scan(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}
