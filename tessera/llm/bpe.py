@@ -34,7 +34,7 @@ VOCABULARY = "word_bpe_49k.json"
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT, _ODD = regex.compile(f"[{_WHITE}]+"), regex.compile("[\\x1c-\\x1f]")
 #: How many pieces a worker keeps encoded.
-KEEP = 200_000
+KEEP = 300_000
 #: Slots for arcs that a worker has worked out.
 ARCS = 1 << 20
 
@@ -88,30 +88,38 @@ class Splitter:
 
 
 class Automaton:
-    """Merges compiled to tables: left and made (the gadget that made a token's arc), after (the state that follows it),
-    and for each state its origin, the arc it lacks and when it was split off."""
+    """Merges compiled to tables: the parts of each token and the time of the gadget that made its arc, and the splits, each
+    by the token whose state was split and the arc taken from it, with its time."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         n = len(vocab)
         self.end, self.label = end, [""] * n
         for s, i in vocab.items():
             self.label[i] = s
-        self.left, self.made, self.after, self.live = [-1] * n, [0] * n, [0] * n, [True] * n
+        self.left, self.made, self.live = [-1] * n, [0] * n, [True] * n
+        right, after = [-1] * n, [0] * n
         self.origin, self.lacks, self.split_at = [0], [-1], [0]
+        splits: dict[int, int] = {}
         products = set()
         for time, (u, v) in enumerate(merges, 1):
             a, b, x = vocab[u], vocab[v], vocab[u + v]
             if x in products:
                 raise ValueError(f"two merges make {u + v!r}")
             products.add(x)
-            self.left[x], self.made[x], self.after[x] = a, time, self.after[b]
-            if not (self.live[a] and self.live[b] and self.has(self.after[a], b)):
+            self.left[x], right[x], self.made[x], after[x] = a, b, time, after[b]
+            if not (self.live[a] and self.live[b] and self.has(after[a], b)):
                 self.live[x] = False  # no path reads u then v any more
                 continue
-            self.origin.append(self.after[a])
+            self.origin.append(after[a])
             self.lacks.append(b)
             self.split_at.append(time)
-            self.after[a] = len(self.origin) - 1
+            after[a] = len(self.origin) - 1
+            splits[a << 20 | b] = time
+        self.left, self.right, self.made = (np.array(x, np.int64) for x in (self.left, right, self.made))
+        self.split_keys = np.array(sorted(splits), np.int64)
+        self.split_times = np.array([splits[k] for k in self.split_keys.tolist()], np.int64)
+        self.states = len(self.origin)
+        del self.origin, self.lacks, self.split_at  # needed while merges are compiled only
         self._tables({i: s for s, i in vocab.items() if self.live[i] and (i in products or len(s.removesuffix(end)) == 1)})
 
     def _tables(self, arcs: dict[int, str]) -> None:
@@ -141,10 +149,9 @@ class Automaton:
         self.token, self.final = np.array([token[n] for n in order], np.int32), np.array([final[n] for n in order], np.int32)
         self.inner = inner
         self.arcs = np.full(ARCS, -1, np.int64)
-        self.arrays = [np.array(x, np.int32) for x in (self.left, self.made, self.after, self.origin, self.lacks, self.split_at)]
 
     def has(self, state: int, x: int) -> bool:
-        """Whether state has an arc for token x."""
+        """Whether state has an arc for token x, while merges are compiled."""
         left, made, origin, lacks, split_at = self.left, self.made, self.origin, self.lacks, self.split_at
         while state:
             if made[x] >= split_at[state]:
@@ -155,32 +162,41 @@ class Automaton:
                 state = origin[state]
         return True
 
-    def have(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """has() for arrays. Arcs asked for before are read from a table, the others are worked out once."""
-        key = (state.astype(np.int64) << 20) | x
+    def have(self, before: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether the state after each token of before (-1: the start) has an arc for x. Arcs asked for before are read from
+        a table, the others are worked out once."""
+        key = ((before.astype(np.int64) + 1) << 20) | x
         slot = (mix(key.view(np.uint64)) & np.uint64(ARCS - 1)).astype(np.int64)
         entry = self.arcs[slot]
         out = (entry & 1).astype(bool)
         miss = np.flatnonzero(entry >> 1 != key)
         if len(miss):
             fresh, back = np.unique(key[miss], return_inverse=True)
-            got = self._work_out((fresh >> 20).astype(np.int32), (fresh & 0xFFFFF).astype(np.int32))[back]
+            got = self._work_out((fresh >> 20) - 1, fresh & 0xFFFFF)[back]
             out[miss] = got
             self.arcs[slot[miss]] = key[miss] << 1 | got
         return out
 
-    def _work_out(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
-        left, made, _, origin, lacks, split_at = self.arrays
-        out = np.ones(len(x), bool)
-        rest = np.flatnonzero(state)
-        state, x = state[rest], x[rest]
-        while len(rest):
-            later = made[x] >= split_at[state]
-            gone = ~later & (x == lacks[state])
-            out[rest[gone]] = False
-            x, state = np.where(later, left[x], x), np.where(later, state, origin[state])
-            go = np.flatnonzero(~gone & (state > 0))
-            rest, state, x = rest[go], state[go], x[go]
+    def _work_out(self, before: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """An arc is lacking if some split took it: that of a token u on the right edge of before, while u's state still
+        counted (until the token above u was made), for what then stood for x (y on its left edge)."""
+        left, right, made, keys, times = self.left, self.right, self.made, self.split_keys, self.split_times
+        out, never = np.ones(len(x), bool), np.int64(1 << 40)
+        act = np.flatnonzero(before >= 0)
+        u, until = before[act], np.full(len(act), never)
+        while len(act):
+            sub, v, most, y, ymost = act, u, until, x[act], np.full(len(act), never)
+            while len(sub):
+                key = v << 20 | y
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                gone = (keys[at] == key) & (times[at] < most) & (times[at] <= ymost)
+                out[sub[gone]] = False
+                ymost, y = made[y], left[y]
+                go = np.flatnonzero(~gone & (y >= 0))
+                sub, v, most, y, ymost = sub[go], v[go], most[go], y[go], ymost[go]
+            until, u = made[u], right[u]
+            go = np.flatnonzero(out[act] & (u >= 0))
+            act, u, until = act[go], u[go], until[go]
         return out
 
     def encode(self, words: list[str]) -> list[np.ndarray]:
@@ -199,7 +215,6 @@ class Automaton:
         return out
 
     def _together(self, words: list[str]) -> list[np.ndarray]:
-        after = self.arrays[2]
         size = np.array([len(w) for w in words], np.int64)
         m, n = len(words), int(size.max())
         raw = np.frombuffer("".join(words).translate(_CODES).encode("latin-1"), np.uint8)
@@ -209,7 +224,7 @@ class Automaton:
         last, came = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)  # the token that ends here, and its start
         for i in range(n):
             who = np.flatnonzero(size > i) if not i else np.flatnonzero((last[i] >= 0) & (size > i))
-            state = np.zeros(len(who), np.int32) if not i else after[last[i, who]]
+            state = last[i, who]
             node = np.zeros(len(who), np.int32)
             for j in range(i, n):
                 node = self.step[np.minimum(node, self.inner), symbols[j, who]]
@@ -236,42 +251,57 @@ class Automaton:
         return np.split(np.concatenate(ids)[by].astype("<u4"), np.cumsum(np.bincount(owners, minlength=m))[:-1])
 
 
-class Pieces:
-    """Encodes texts by their white-space free pieces. encode: from words not seen before to their ids."""
-
-    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list[np.ndarray]], keep: int = KEEP):
-        self.splitter, self.encode, self.keep = splitter, encode, keep
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def _known(self, tables: tuple[dict, dict], keys) -> list:
-        """Keys that are in neither table; those of the older one come over to the newer."""
-        new, old = tables
-        out = []
-        for k in keys:
+class Recent:
+    """A bounded table of what recurs. make: from keys not held to their values."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], keep: int = KEEP):
+        self.make, self.keep = make, keep
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def with_all(self, keys: set[str]) -> dict[str, bytes]:
+        """A table that holds all keys, until the next call."""
+        if len(self.new) > self.keep:
+            self.new, self.old = {}, self.new
+        new, old, missing = self.new, self.old, []
+        for k in keys - new.keys():
             v = old.get(k)
             if v is None:
-                out.append(k)
+                missing.append(k)
             else:
                 new[k] = v
-        return out
+        if missing:
+            new.update(zip(missing, self.make(missing), strict=True))
+        return new
+
+
+def _bytes(arrays: list[np.ndarray]) -> list[bytes]:
+    return [a.tobytes() for a in arrays]
+
+
+class Pieces:
+    """Encodes texts by their white-space free pieces."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], keep: int = KEEP):
+        self.table = Recent(make, keep)
+
+    @classmethod
+    def of_words(cls, splitter: Splitter, encode: Callable[[list[str]], list[np.ndarray]]) -> Pieces:
+        """encode: from words of byte symbols to their ids."""
+        words = Recent(lambda w: _bytes(encode(w)))
+
+        def make(pieces: list[str]) -> list[bytes]:
+            parts = [splitter(p) for p in pieces]
+            known = words.with_all({w for p in parts for w in p if w.__class__ is str})
+            return [known[p[0]] if len(p) == 1 and p[0] in known else b"".join([known[w] if w.__class__ is str else w.to_bytes(4, "little") for w in p]) for p in parts]
+
+        return cls(make)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces[0]) > self.keep:
-            self.pieces = {}, self.pieces[0]
-        if len(self.words[0]) > self.keep:
-            self.words = {}, self.words[0]
         cut = [t.split() if not _ODD.search(t) else [x for x in _SPLIT.split(t) if x] for t in texts]
-        pieces, words = self.pieces[0], self.words[0]
-        fresh = self._known(self.pieces, set().union(*cut) - pieces.keys())
-        parts = [self.splitter(p) for p in fresh]
-        missing = self._known(self.words, {w for p in parts for w in p if w.__class__ is str} - words.keys())
-        for w, got in zip(missing, self.encode(missing), strict=True):
-            words[w] = got.tobytes()
-        for p, ws in zip(fresh, parts, strict=True):
-            pieces[p] = words[ws[0]] if len(ws) == 1 and ws[0] in words else b"".join([words[w] if w.__class__ is str else w.to_bytes(4, "little") for w in ws])
-        return [b"".join(map(pieces.__getitem__, c)) for c in cut]
+        known = self.table.with_all(set().union(*cut))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 @lru_cache(2)
@@ -283,7 +313,7 @@ def automaton(path: str) -> tuple[Automaton, Pieces, list[str]]:
     labels = a.label + [""] * (max([len(a.label) - 1, *(t["id"] for t in spec["added_tokens"])]) + 1 - len(a.label))
     for t in spec["added_tokens"]:
         labels[t["id"]] = t["content"]
-    return a, Pieces(Splitter(spec), a.encode), labels
+    return a, Pieces.of_words(Splitter(spec), a.encode), labels
 
 
 def groups(values: list[str], most: int = 1 << 21) -> Iterator[list[str]]:

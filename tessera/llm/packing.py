@@ -1,8 +1,8 @@
 """Packing of token sequences by order-preserving dynamic programming.
 
 Each task packs the documents it scans in their order, in blocks of about ``BLOCK_TOKENS`` tokens that end with a document.
-Places where a sequence may end are the ends of documents, the ends of sentences (at a price) and, where neither comes for
-``FORCED`` tokens, places in between (at a higher price). The cuts chosen minimise padding plus these prices over all
+Places where a sequence may end are the ends of documents, the ends of sentences (at a price; one in each ``SPACING``
+tokens) and, where neither comes for ``FORCED`` tokens, places in between (at a higher price). The cuts chosen minimise padding plus these prices over all
 choices: the cheapest earlier cut within a sequence's length comes from a monotone queue, so a block takes time in
 proportion to its places. A sequence is padded to its full length, except that one whose length is a power of two stays as
 it is; the places that are a power of two back are tried as well. No data moves between tasks.
@@ -13,9 +13,7 @@ sequence belongs to one block, so its id names the task's part of the input and
 
 from __future__ import annotations
 
-import json
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,41 +23,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, Pieces, Splitter, groups, vocabulary_path
+from tessera.llm.bpe import VOCABULARY, Pieces, automaton, groups, vocabulary_path
 from tessera.llm.common import column, scan, strings
 
-LENGTH, END, BLOCK_TOKENS, FORCED = 2048, 1, 1 << 19, 256
+LENGTH, END, BLOCK_TOKENS, SPACING, FORCED = 2048, 1, 1 << 19, 32, 256
 #: Prices, in tokens of padding: of a cut at the end of a sentence, and within one.
 SENTENCE, WITHIN = 8, 64
 
 
 @lru_cache(2)
 def _encoder(path: str) -> tuple[Pieces, np.ndarray]:
-    from tokenizers import Tokenizer
-    from tokenizers.models import BPE
-
-    with open(path) as f:
-        spec = json.load(f)
-    model = spec["model"]
-    plain = Tokenizer(BPE(model["vocab"], [tuple(m) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"]))
-
-    def encode(words: list[str]) -> list[np.ndarray]:
-        """Many words in one call, told apart by the word that each token belongs to."""
-        if not words:
-            return []
-        e = plain.encode(words, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
-        return np.split(np.array(e.ids, "<u4"), np.cumsum(counts)[:-1])
-
-    stops = np.zeros(len(model["vocab"]) + len(spec["added_tokens"]), bool)
-    stops[[i for s, i in model["vocab"].items() if s in (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>")]] = True
-    return Pieces(Splitter(spec), encode), stops
+    """The automaton's encoder (its ids are those of the tokenizers library), and which ids end a sentence."""
+    _, pieces, labels = automaton(path)
+    return pieces, np.array([x in (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>") for x in labels])
 
 
 def cuts(stop: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> list[int]:
     """Where the sequences of one block end. stop: whether a token ends a sentence; ends: where documents end."""
     total = int(ends[-1])
     sentence = np.flatnonzero(stop) + 1
+    # Of sentence ends the first in each stretch of SPACING tokens counts.
+    sentence = sentence[np.diff(sentence // SPACING, prepend=-1) > 0]
     places = np.union1d(np.union1d(sentence, ends), [0])
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > FORCED)
@@ -69,32 +53,38 @@ def cuts(stop: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> list[int]:
     price = np.full(len(places), WITHIN, np.int64)
     price[np.searchsorted(places, sentence)] = SENTENCE
     price[np.searchsorted(places, ends)] = 0
-    exact: dict[int, list[int]] = {}  # places that lie a power of two back
+    exact: list = [()] * len(places)  # places that lie a power of two back
     for k in range(length.bit_length()):
-        if 1 << k <= length:
-            want = places - (1 << k)
-            at = np.searchsorted(places, want)
-            for i in np.flatnonzero((want >= 0) & (places[np.minimum(at, len(places) - 1)] == want)).tolist():
-                exact.setdefault(i, []).append(int(at[i]))
+        want = places - (1 << k)
+        at = np.searchsorted(places, want)
+        hit = np.flatnonzero(places[at] == want) if 1 << k <= length else ()
+        for i, j in zip(hit.tolist() if len(hit) else (), at[hit].tolist() if len(hit) else (), strict=True):
+            exact[i] += (j,)
     where, cost = places.tolist(), price.tolist()
-    best, back = [0] * len(where), [0] * len(where)
-    queue: deque[int] = deque([0])  # of places, with best + where ascending
-    key = [0] * len(where)
+    best, back = [0], [0]
+    # The queue: places, with best + where as keys in ascending order.
+    at, keys, names, head = [0], [0], [0], 0
     for i in range(1, len(where)):
         here = where[i]
-        while where[queue[0]] < here - length:
-            queue.popleft()
-        j = queue[0]
-        low = key[j] + length - here
-        for e in exact.get(i, ()):
+        floor = here - length
+        while at[head] < floor:
+            head += 1
+        j = names[head]
+        low = keys[head] - floor
+        for e in exact[i]:
             if best[e] < low:
                 low, j = best[e], e
         low += cost[i]
-        best[i], back[i] = low, j
-        key[i] = k = low + here
-        while queue and key[queue[-1]] >= k:
-            queue.pop()
-        queue.append(i)
+        best.append(low)
+        back.append(j)
+        key = low + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            at.pop()
+            names.pop()
+        keys.append(key)
+        at.append(here)
+        names.append(i)
     out, i = [], len(where) - 1
     assert where[i] == total
     while i:
