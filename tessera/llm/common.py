@@ -52,6 +52,11 @@ def residue(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string")) % modulus
 
 
+def normalised(text):
+    """text with each run of ASCII white space as one space; null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -15,16 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scan
+from tessera.llm.common import normalised, scan
 
 #: Into how many parts the rows of one digest are dealt before its winners meet.
 SALTS = 64
 
 
-def normalised(text):
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-
-
 def exact_groups(docs: DataFrame, salts: int = SALTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and the columns of carry as carry_0,
     carry_1 and so on."""

@@ -3,7 +3,9 @@
 Two documents that share ``length`` consecutive words share, at some offset below ``period``, a word position that is in
 the difference cover (modulo the period) in both of them. So only windows of ``length - period + 1`` words at cover
 positions are hashed; anchors that occur in one document alone end there. The others extend: every full window around
-them gets a 128-bit hash of its words, and the smallest document of each full window decides. Nothing pairs documents:
+them gets a 128-bit hash of its words, and the smallest document of each full window decides. An anchor's smallest and
+greatest documents tell which side its windows are on: those of documents below the greatest are offered, those of
+documents above the smallest are asked for. Nothing pairs documents:
 each step is a grouped minimum or a join with one row per hash, so a passage that a third of all documents share costs a
 row for each of its occurrences.
 
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, column, partitions, scan, texts, windows
+from tessera.llm.common import Words, column, normalised, partitions, scan, texts, windows
 
-PERIOD = 21
-#: A perfect difference set modulo 21 (fixed values): every offset is a difference of two of its members.
-COVER = (3, 6, 7, 12, 14)
+PERIOD = 31
+#: A perfect difference set modulo 31 (fixed values): every offset is a difference of two of its members.
+COVER = (1, 5, 11, 24, 25, 27)
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
 
@@ -57,10 +59,11 @@ def _anchors(length: int):
     return run
 
 
-def _full_windows(length: int):
+def _full_windows(length: int, side: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks, where = column(batch, "doc_id").to_numpy(zero_copy_only=False), column(batch, "th").to_numpy(zero_copy_only=False), column(batch, "at")
+            ids, marks = column(batch, "doc_id").to_numpy(zero_copy_only=False), column(batch, "th").to_numpy(zero_copy_only=False)
+            where = column(batch, side)
             for a, b, data, bounds in texts(column(batch, "text")):
                 w = Words(data, bounds)
                 h = w.hashes()
@@ -84,12 +87,12 @@ def _full_windows(length: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, marks = column(batch, "at"), column(batch, "th").to_numpy(zero_copy_only=False)
+            where, marks, whole = column(batch, "at"), column(batch, "th").to_numpy(zero_copy_only=False), column(batch, "whole").to_pylist()
             column_text = column(batch, "text")
-            rest = [(f.name, k) for k, f in enumerate(batch.schema) if f.name not in ("text", "at", "th")]
+            rest = [(f.name, k) for k, f in enumerate(batch.schema) if f.name not in (() if texts_too else ("text",)) + ("at", "th", "whole")]
             for a, b, data, bounds in texts(column_text):
                 n_words, n_removed, kept, spans = [], [], [], []
                 for i in range(a, b):
@@ -102,6 +105,8 @@ def _cut(length: int):
                         np.add.at(cover, p, 1)
                         np.add.at(cover, p + length, -1)
                     gone = np.cumsum(cover[:-1]) > 0
+                    if whole[i] and n >= length:
+                        gone[:] = True
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
                     kept.append(b" ".join(itertools.compress(words, ~gone) if len(edges) else words))
                     n_words.append(n)
@@ -114,28 +119,44 @@ def _cut(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, the columns of carry, n_words, n_removed, spans (word ranges that repeat a
-    passage of a document with a smaller id), kept_text (the other words, joined by one space)."""
+def _copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, ths): rows all of whose words, in order, are those of a row with a smaller id."""
+    digest = F.unhex(F.sha2(F.trim(normalised(F.col("text"))), 256))
+    named = rows.select("doc_id", F.xxhash64("text").alias("th"), digest.alias("digest"))
+    first = named.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("digest", "a")
+    return named.join(first, "digest").where("doc_id > a").groupBy("doc_id").agg(F.collect_set("th").alias("ths"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), texts_too: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, with texts_too the text, the columns of carry, n_words, n_removed, spans (word
+    ranges that repeat a passage of a document with a smaller id), kept_text (the other words, joined by one space)."""
     if length < PERIOD + 1:
         raise ValueError(f"length must exceed {PERIOD}")
     spark = docs.sparkSession
     n = partitions(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = base.mapInArrow(_anchors(length), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    at = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     kept_as = {c: f"carry_{k}" for k, c in enumerate(carry)}
-    # The whole texts move once: both joins below read this exchange.
-    moved = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), *(F.col(c).alias(x) for c, x in kept_as.items())).repartition(n, "doc_id")
-    full = moved.join(at, "doc_id").select("doc_id", "th", F.coalesce("text", F.lit("")).alias("text"), "at").mapInArrow(_full_windows(length), "hi long, lo long, doc_id long, th long, pos int")
-    earliest = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hi", "lo", "a")
-    cuts = full.join(earliest, ["hi", "lo"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
-    joined = moved.join(cuts, "doc_id", "left")
+    others = list(kept_as.values())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in kept_as.items()))
+    named = rows.where("doc_id IS NOT NULL")
+    # The whole texts move once: all three steps read this exchange, and so ask for the same columns.
+    moved = named.withColumn("th", F.xxhash64("text")).repartition(n, "doc_id")
+    marked = moved.join(_copies(named), "doc_id", "left").withColumn("whole", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("ths")
+    anchors = marked.where("NOT whole").select("doc_id", "text", *others).mapInArrow(_anchors(length), "h long, doc_id long, pos int")
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    met = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") < F.col("b"), F.col("pos"))).alias("offer"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("pos"))).alias("ask"))
+    placed = marked.where("NOT whole").join(met, "doc_id")
+    schema = "hi long, lo long, doc_id long, th long, pos int"
+    ask = placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others).mapInArrow(_full_windows(length, "ask"), schema)
+    offer = placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others).mapInArrow(_full_windows(length, "offer"), schema)
+    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"))
+    cuts = ask.join(earliest, ["hi", "lo"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
+    inputs = ["doc_id", "text", "th", "whole", "at", *others]
+    joined = marked.join(cuts, "doc_id", "left").select(*inputs)
+    unnamed = rows.where("doc_id IS NULL").withColumns({"th": F.lit(0).cast("long"), "whole": F.lit(False), "at": F.lit(None).cast(cuts.schema["at"].dataType)}).select(*inputs)
     kinds = dict(docs.dtypes)
-    schema = "doc_id long, " + "".join(f"{x} {kinds[c]}, " for c, x in kept_as.items()) + "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    out = joined.select("doc_id", "text", "th", "at", *kept_as.values()).mapInArrow(_cut(length), schema)
-    return out.select("doc_id", *(F.col(x).alias(c) for c, x in kept_as.items()), "n_words", "n_removed", "spans", "kept_text")
+    schema = "doc_id long, " + "text string, " * texts_too + "".join(f"{x} {kinds[c]}, " for c, x in kept_as.items()) + "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
+    out = joined.mapInArrow(_cut(length, texts_too), schema).unionByName(unnamed.mapInArrow(_cut(length, texts_too), schema))
+    return out.select("doc_id", *["text"] * texts_too, *(F.col(x).alias(c) for c, x in kept_as.items()), "n_words", "n_removed", "spans", "kept_text")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
