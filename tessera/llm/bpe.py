@@ -7,8 +7,7 @@ to where v led. A split state differs from its origin by the one arc it lacks an
 that is stored; whether a state has an arc follows from these tables. A word has exactly one accepted path, found by one
 pass over its bytes through a trie of arc labels; decoding emits the labels of the arcs.
 
-Texts are cut at Unicode white space first, since neither normalisation, splitting nor merging reaches across it, and
-pieces that recur are encoded once for each worker (in tables of bounded size that hold no part of the result).
+Words that recur are encoded once for each worker (in tables of bounded size that hold no part of the result).
 
 Defined results: a null text counts as empty and has no tokens; rows are independent of one another.
 """
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import column, mix, scan, strings
 
 VOCABULARY = "word_bpe_49k.json"
-#: Unicode's White_Space, as regular expressions of tokenizers see it; str.split() also takes \x1c-\x1f.
+#: Unicode's White_Space, as regular expressions of tokenizers see it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_SPLIT, _ODD = regex.compile(f"[{_WHITE}]+"), regex.compile("[\\x1c-\\x1f]")
-#: How many pieces a worker keeps encoded.
+#: How many words a worker keeps encoded, twice over.
 KEEP = 300_000
 #: Slots for arcs that a worker has worked out.
 ARCS = 1 << 20
@@ -52,41 +51,47 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-#: From a printable character to the character of its byte.
+#: From a printable character to the character of its byte, and back.
+_SYMBOLS = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
 _CODES = str.maketrans({s: chr(b) for b, s in enumerate(byte_symbols())})
 
 
+#: What plain texts hold: characters that normalisation leaves as they are, whose categories the pattern below spells out.
+_OTHER_THAN_PLAIN = re.compile("[^\x00-\x7f\xa0-\u012f\u0131-\u017f]").search
+_PLAIN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\t-\r \xa0a-zªµºß-öø-\u017f0-9²³¹¼½¾]+").findall
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Splitter:
-    """From a white-space free piece of text to the special ids and words of a tokenizer file."""
+    """From a text to the words that are encoded each by itself, and to special ids, as a tokenizer file has it."""
 
     def __init__(self, spec: dict):
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace("\\s", _WHITE)).findall
+        self.plain = pattern == _PLAIN_PATTERN
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda x: [x]
-        if any("<" not in x for x in self.special):
-            raise ValueError("special tokens are expected to hold <")
-        self.map = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
-
-    def __call__(self, piece: str) -> list[str | int]:
-        if piece.isascii() and "<" not in piece and piece.isprintable():
-            piece = piece.lower()
-            if piece.isalpha():
-                return [piece]
-            return [piece[:-1], piece[-1]] if piece[:-1].isalpha() and not piece[-1].isalnum() else self.words(piece)
+
+    def __call__(self, text: str) -> list[str | int]:
+        special = any(x in text for x in self.special)
+        if self.plain and not special and (text.isascii() or not _OTHER_THAN_PLAIN(text)):
+            return _PLAIN(text.lower())
         out: list[str | int] = []
-        for part in self.cut(piece) if "<" in piece else [piece]:
+        for part in self.cut(text) if special else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                part = part if part.isascii() else unicodedata.normalize("NFC", part)
+                part = unicodedata.normalize("NFC", part)
                 # Each character by itself: str.lower() of a whole word treats a final sigma otherwise.
-                part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-                words = [part] if part.isalpha() else self.words(part)
-                out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.map) for w in words]
+                out += self.words(part.lower() if "Σ" not in part else "".join(c.lower() for c in part))
         return out
 
 
+def symbols(word: str) -> str:
+    """The byte symbols of a word."""
+    return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_SYMBOLS)
+
+
 class Automaton:
     """Merges compiled to tables: the parts of each token and the time of the gadget that made its arc, and the splits, each
     by the token whose state was split and the arc taken from it, with its time."""
@@ -275,37 +280,25 @@ class Recent:
         return new
 
 
-def _bytes(arrays: list[np.ndarray]) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
-
-
-class Pieces:
-    """Encodes texts by their white-space free pieces."""
-
-    def __init__(self, make: Callable[[list[str]], list[bytes]], keep: int = KEEP):
-        self.table = Recent(make, keep)
-
-    @classmethod
-    def of_words(cls, splitter: Splitter, encode: Callable[[list[str]], list[np.ndarray]]) -> Pieces:
-        """encode: from words of byte symbols to their ids."""
-        words = Recent(lambda w: _bytes(encode(w)))
+class Encoder:
+    """Encodes texts word by word. encode: from words of byte symbols to their ids."""
 
-        def make(pieces: list[str]) -> list[bytes]:
-            parts = [splitter(p) for p in pieces]
-            known = words.with_all({w for p in parts for w in p if w.__class__ is str})
-            return [known[p[0]] if len(p) == 1 and p[0] in known else b"".join([known[w] if w.__class__ is str else w.to_bytes(4, "little") for w in p]) for p in parts]
+    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list[np.ndarray]], keep: int = KEEP):
+        def make(words: list) -> list[bytes]:
+            got = iter(encode([symbols(w) for w in words if w.__class__ is str]))
+            return [next(got).tobytes() if w.__class__ is str else w.to_bytes(4, "little") for w in words]
 
-        return cls(make)
+        self.split, self.table = splitter, Recent(make, keep)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split() if not _ODD.search(t) else [x for x in _SPLIT.split(t) if x] for t in texts]
-        known = self.table.with_all(set().union(*cut))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        words = list(map(self.split, texts))
+        known = self.table.with_all(set().union(*words)).__getitem__
+        return [b"".join(map(known, w)) for w in words]
 
 
 @lru_cache(2)
-def automaton(path: str) -> tuple[Automaton, Pieces, list[str]]:
+def automaton(path: str) -> tuple[Automaton, Encoder, list[str]]:
     with open(path) as f:
         spec = json.load(f)
     model = spec["model"]
@@ -313,7 +306,7 @@ def automaton(path: str) -> tuple[Automaton, Pieces, list[str]]:
     labels = a.label + [""] * (max([len(a.label) - 1, *(t["id"] for t in spec["added_tokens"])]) + 1 - len(a.label))
     for t in spec["added_tokens"]:
         labels[t["id"]] = t["content"]
-    return a, Pieces.of_words(Splitter(spec), a.encode), labels
+    return a, Encoder(Splitter(spec), a.encode), labels
 
 
 def groups(values: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
@@ -332,12 +325,12 @@ def tokens(docs: DataFrame, digests: bool = False, vocabulary: str = VOCABULARY)
     """Per row of docs (doc_id, text): doc_id, n_tokens, and ids (array<int>) with decoded, or with digests their SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces, labels = automaton(vocabulary_path(vocabulary))
+        _, encoder, labels = automaton(vocabulary_path(vocabulary))
         label = labels.__getitem__
         for batch in batches:
             values, at = strings(column(batch, "text")), 0
             for part in groups(values):
-                ids = pieces.ids(part)
+                ids = encoder.ids(part)
                 decoded = [" ".join(map(label, np.frombuffer(x, "<u4").tolist())) for x in ids]
                 first = [column(batch, "doc_id").slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 at += len(part)

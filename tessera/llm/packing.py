@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, Pieces, automaton, groups, vocabulary_path
+from tessera.llm.bpe import VOCABULARY, Encoder, automaton, groups, vocabulary_path
 from tessera.llm.common import column, scan, strings
 
 LENGTH, END, BLOCK_TOKENS, SPACING, FORCED = 2048, 1, 1 << 19, 32, 256
@@ -32,10 +32,10 @@ SENTENCE, WITHIN = 8, 64
 
 
 @lru_cache(2)
-def _encoder(path: str) -> tuple[Pieces, np.ndarray]:
+def _encoder(path: str) -> tuple[Encoder, np.ndarray]:
     """The automaton's encoder (its ids are those of the tokenizers library), and which ids end a sentence."""
-    _, pieces, labels = automaton(path)
-    return pieces, np.array([x in (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>") for x in labels])
+    _, encoder, labels = automaton(path)
+    return encoder, np.array([x in (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>") for x in labels])
 
 
 def cuts(stop: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -118,7 +118,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)]), number + len(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, stops = _encoder(vocabulary_path(vocabulary))
+        encoder, stops = _encoder(vocabulary_path(vocabulary))
         part, number, end = TaskContext.get().partitionId(), 0, END.to_bytes(4, "little")
         names: list = []
         raw: list[bytes] = []
@@ -126,7 +126,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         for batch in batches:
             own, at = column(batch, "doc_id").to_pylist(), 0
             for group in groups(strings(column(batch, "text"))):
-                for i, x in enumerate(pieces.ids(group), at):
+                for i, x in enumerate(encoder.ids(group), at):
                     names.append(own[i])
                     raw.append(x + end)
                     held += len(raw[-1]) // 4
