@@ -164,7 +164,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its next one
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             out: list[tuple] = []
             for i, t, p, extra in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, "part").to_pylist(), column(batch, "extra").to_pylist(), strict=True):
                 if held and held[2] == p:
@@ -185,7 +185,7 @@ def edited(text: str, following: str) -> str:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             ids, own, following = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, "next_text").to_pylist()
             for part in _parts([(i, t, f) for i, t, f in zip(ids, own, following, strict=True)], 64):
                 for group in _chunks(part):
