@@ -110,7 +110,7 @@ def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, lea
     for t in templates:
         own = [int(hits[i]) for i, h in enumerate(words) if h in t.rare]
         n = len(t.hashes)
-        at = 0
+        at = floor = 0  # floor: the end of the match before
         while at < len(own):  # places that lie close together
             end = at + 1
             while end < len(own) and own[end] - own[end - 1] <= max(4, n // 4):
@@ -124,16 +124,20 @@ def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, lea
                 y = bisect_left(group, first + 2 * n)
                 inside = group[x:y]
                 if len({int(hashes[i]) for i in inside}) >= 0.5 * len(t.rare):
-                    lo, hi = max(0, first - n), min(len(hashes), inside[-1] + n + 1)
+                    lo, hi = max(floor, first - n), min(len(hashes), inside[-1] + n + 1)
                     pairs = align(hashes[lo:hi].tolist(), t.hashes)
                     if len(pairs) >= least * n:
                         # Words far from the others were met by chance.
                         core = [p for p in pairs if first - n // 2 - 2 <= p[0] + lo <= inside[-1] + n // 2 + 2]
                         if len(core) >= least * n:
                             found.append((t.name, len(core) / n, len(core), core[0][0] + lo, core[-1][0] + lo + 1))
-                if y >= len(group):
+                            floor = found[-1][4]
+                if floor > first:
+                    x = bisect_left(group, floor)
+                elif y >= len(group):
                     break
-                x = max(x + 1, bisect_left(group, first + n))
+                else:
+                    x = max(x + 1, bisect_left(group, first + n))
     kept: list[tuple[str, float, int, int, int]] = []
     for m in sorted(set(found), key=lambda m: (-m[1], -m[2], m[3], m[0])):
         if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
