@@ -7,7 +7,7 @@ counts of all segmentations, each word once, as each gives the same mass to be s
 absolutely discounted share of the training tokens; the discounted mass is what the spelled arcs share, so a word's
 probability is the sum over all its paths, whether it was seen in training or not.
 
-Counts cover every training text. The ``HEAD`` commonest words (a fixed number) travel to every task; the other words of a
+Counts cover every training text. The commonest words (at most ``HEAD``) travel to every task; the other words of a
 document are joined with the corpus counts, a row for each document and word, and summed for each document.
 
 Defined results: null texts count as empty (one token, the end). A null id is neither held out nor learned from. Rows that
@@ -199,6 +199,19 @@ def piece_counts(counts: DataFrame, logp: np.ndarray) -> tuple[np.ndarray, int,
     return uses, int(total.get(-1, 0)), int(total.get(-2, 0))
 
 
+def commonest(counts: DataFrame) -> DataFrame:
+    """Words by how common they are, down to a count that no more than HEAD words reach. A few counts of counts go to the
+    driver, whatever the corpus."""
+    words = counts.where(F.length("word") > 0).withColumn("step", F.floor(F.log2("c") * 32).cast("int"))
+    total, least = 0, None
+    for r in sorted(words.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = r["step"]
+    return words.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "c")
+
+
 def estimate(uses: np.ndarray) -> np.ndarray:
     """Log probabilities of pieces used so often; unused ones keep a small share in the vocabulary's order."""
     start = np.exp(vocabulary()[1])
@@ -244,7 +257,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         uses, tokens, kinds = piece_counts(counts, logp)
         logp = estimate(uses)
     ends = sum(r["c"] for r in counts.where(F.length("word") == 0).collect())
-    head = [(bytes(r["word"]), r["c"]) for r in counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = [(bytes(r["word"]), r["c"]) for r in commonest(counts).collect()]
     sent = spark.sparkContext.broadcast(Model(uses, tokens, kinds, ends, head))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
