@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, mix, scan, strings
+from tessera.llm.common import column, mix, scan, sliced, strings
 
 VOCABULARY = "word_bpe_49k.json"
 #: Unicode's White_Space, as regular expressions of tokenizers see it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: How many words a worker keeps encoded, twice over.
-KEEP = 300_000
+KEEP = 200_000
 #: Slots for arcs that a worker has worked out.
 ARCS = 1 << 20
 
@@ -327,7 +327,7 @@ def tokens(docs: DataFrame, digests: bool = False, vocabulary: str = VOCABULARY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder, labels = automaton(vocabulary_path(vocabulary))
         label = labels.__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             values, at = strings(column(batch, "text")), 0
             for part in groups(values):
                 ids = encoder.ids(part)

@@ -142,3 +142,10 @@ def texts(array: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.nd
 
 def strings(array: pa.Array) -> list[str]:
     return pc.fill_null(array, "").to_pylist() if array.null_count else array.to_pylist()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

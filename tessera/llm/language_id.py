@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import groups
-from tessera.llm.common import column, mix, residue, scan, strings, windows
+from tessera.llm.common import column, mix, residue, scan, sliced, strings, windows
 
 ORDER, ROWS, LANGUAGES, UNKNOWN = 4, 400, 500, 1 / 3000
 #: Rejection: bits per letter above the calibration's highest, and the allowance for short texts (over the root of letters).
 MARGIN, SHORT = 1.5, 4.0
 #: Pieces of text that a worker keeps scored.
-KEEP = 300_000
+KEEP = 100_000
 _LETTERS = regex.compile(r"\p{L}+").findall
 _START, _STOP = 1, 2
 
@@ -160,7 +160,7 @@ def _measured(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             sums = np.concatenate([scorer.texts(g) for g in groups(strings(column(batch, "text")))] or [np.zeros((0, len(sent.value.names) + 1))])
             n = sums[:, -1]
             bits = -sums[:, :-1] / np.maximum(n, 1)[:, None]
