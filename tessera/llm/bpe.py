@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, mix, scan, sliced, strings
+from tessera.llm.common import FORGET, column, mapped, mix, scan, sliced, strings
 
 VOCABULARY = "word_bpe_49k.json"
 #: Unicode's White_Space, as regular expressions of tokenizers see it.
@@ -309,6 +309,9 @@ def automaton(path: str) -> tuple[Automaton, Encoder, list[str]]:
     return a, Encoder(Splitter(spec), a.encode), labels
 
 
+FORGET.append(automaton.cache_clear)
+
+
 def groups(values: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
     part, held = [], 0
     for x in values:
@@ -340,7 +343,7 @@ def tokens(docs: DataFrame, digests: bool = False, vocabulary: str = VOCABULARY)
                     yield pa.RecordBatch.from_arrays([*first, pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(decoded)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, "bpe")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

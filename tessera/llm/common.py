@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,11 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that one NumPy pass takes; one longer document is a pass of its own.
 BLOCK = 1 << 20
+#: Bytes of an Arrow batch, about: executors hold a few at a time for each task, twice over while one grows.
+BATCH = 8 << 20
+#: What empties the tables that modules keep for a worker's next tasks; the operator whose tasks the worker ran last.
+FORGET: list[Callable[[], None]] = []
+_OWNER = [""]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -149,3 +157,36 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: workers are reused, and hold on to it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(owner: str) -> None:
+    """A worker holds the tables of one operator at a time."""
+    if _OWNER[0] != owner:
+        for forget in FORGET:
+            forget()
+        tidy()
+        _OWNER[0] = owner
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH bytes or one row, by workers that return memory after each
+    task. owner: whose tables the worker may keep. The bound on batches is the session's from here on; results don't
+    depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+    def tended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tended, schema)

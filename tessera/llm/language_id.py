@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import groups
-from tessera.llm.common import column, mix, residue, scan, sliced, strings, windows
+from tessera.llm.common import column, mapped, mix, residue, scan, sliced, strings, windows
 
 ORDER, ROWS, LANGUAGES, UNKNOWN = 4, 400, 500, 1 / 3000
 #: Rejection: bits per letter above the calibration's highest, and the allowance for short texts (over the root of letters).
@@ -170,7 +170,7 @@ def _measured(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in others), pa.array(n.astype(np.int64)), pa.array(best.astype(np.int32)), pa.array(low), pa.array(sure)], [*others, "letters", "best", "bits", "sure"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in others) + "letters long, best int, bits double, sure double")
+    return mapped(docs, run, "".join(f"{c} {kinds[c]}, " for c in others) + "letters long, best int, bits double, sure double")
 
 
 def fit(labelled: DataFrame) -> Model | None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import VOCABULARY, Encoder, automaton, groups, vocabulary_path
-from tessera.llm.common import column, scan, sliced, strings
+from tessera.llm.common import FORGET, column, mapped, scan, sliced, strings
 
 LENGTH, END, BLOCK_TOKENS, SPACING, FORCED = 2048, 1, 1 << 19, 32, 256
 #: Prices, in tokens of padding: of a cut at the end of a sentence, and within one.
@@ -38,6 +38,9 @@ def _encoder(path: str) -> tuple[Encoder, np.ndarray]:
     return encoder, np.array([x in (".</w>", "!</w>", "?</w>", "...</w>", "!!</w>") for x in labels])
 
 
+FORGET.append(_encoder.cache_clear)
+
+
 def cuts(stop: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> list[int]:
     """Where the sequences of one block end. stop: whether a token ends a sentence; ends: where documents end."""
     total = int(ends[-1])
@@ -139,7 +142,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
             yield block(part, number, names, raw, stops)[0]
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, "bpe")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut_lineage, scan, texts
+from tessera.llm.common import column, cut_lineage, mapped, scan, texts
 from tessera.llm.components import components
 
 BITS, BLOCKS, DISTANCE, SEED, MOST = 64, 4, 2, 42, 64
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             out = np.array([_text_fingerprint(data[bounds[i] : bounds[i + 1]].tobytes(), shingle) for a, b, data, bounds in texts(column(batch, "text")) for i in range(b - a)], np.uint64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, column, normalised, partitions, scan, texts, windows
+from tessera.llm.common import Words, column, mapped, normalised, partitions, scan, texts, windows
 
 PERIOD = 31
 #: A perfect difference set modulo 31 (fixed values): every offset is a difference of two of its members.
@@ -141,13 +141,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     # The whole texts move once: all three steps read this exchange, and so ask for the same columns.
     moved = named.withColumn("th", F.xxhash64("text")).repartition(n, "doc_id")
     marked = moved.join(_copies(named), "doc_id", "left").withColumn("whole", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("ths")
-    anchors = marked.where("NOT whole").select("doc_id", "text", *others).mapInArrow(_anchors(length), "h long, doc_id long, pos int")
+    anchors = mapped(marked.where("NOT whole").select("doc_id", "text", *others), _anchors(length), "h long, doc_id long, pos int")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     met = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") < F.col("b"), F.col("pos"))).alias("offer"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("pos"))).alias("ask"))
     placed = marked.where("NOT whole").join(met, "doc_id")
     schema = "hi long, lo long, doc_id long, th long, pos int"
-    ask = placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others).mapInArrow(_full_windows(length, "ask"), schema)
-    offer = placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others).mapInArrow(_full_windows(length, "offer"), schema)
+    ask = mapped(placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others), _full_windows(length, "ask"), schema)
+    offer = mapped(placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others), _full_windows(length, "offer"), schema)
     earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"))
     cuts = ask.join(earliest, ["hi", "lo"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
     inputs = ["doc_id", "text", "th", "whole", "at", *others]
@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     unnamed = rows.where("doc_id IS NULL").withColumns({"th": F.lit(0).cast("long"), "whole": F.lit(False), "at": F.lit(None).cast(cuts.schema["at"].dataType)}).select(*inputs)
     kinds = dict(docs.dtypes)
     schema = "doc_id long, " + "text string, " * texts_too + "".join(f"{x} {kinds[c]}, " for c, x in kept_as.items()) + "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    out = joined.mapInArrow(_cut(length, texts_too), schema).unionByName(unnamed.mapInArrow(_cut(length, texts_too), schema))
+    out = mapped(joined, _cut(length, texts_too), schema).unionByName(mapped(unnamed, _cut(length, texts_too), schema))
     return out.select("doc_id", *["text"] * texts_too, *(F.col(x).alias(c) for c, x in kept_as.items()), "n_words", "n_removed", "spans", "kept_text")
 
 
