@@ -24,13 +24,15 @@ SALTS = 64
 def exact_groups(docs: DataFrame, salts: int = SALTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and the columns of carry as carry_0,
     carry_1 and so on."""
-    others = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    # A text to carry is named last: both kinds of groups then ask for the same columns, and read one exchange.
+    others = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry) if c != "text"]
     names = [f"carry_{k}" for k in range(len(carry))]
+    carried = [F.col("text" if c == "text" else n).alias(n) for c, n in zip(carry, names, strict=True)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *others, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
     counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     counted = rows.join(counts, "digest")
-    alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", *names)
-    several = counted.where("n > 1").select("doc_id", "digest", normalised(F.col("text")).alias("norm"), *names)
+    alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", *carried)
+    several = counted.where("n > 1").select("doc_id", "digest", normalised(F.col("text")).alias("norm"), *carried)
     # min() skips nulls: a null id is carried by a flag, as it sorts first.
     merged = (
         several.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
