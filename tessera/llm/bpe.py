@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Unicode's White_Space, as regular expressions of tokenizers see it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: How many words a worker keeps encoded, twice over.
-KEEP = 200_000
+KEEP = 300_000
 #: Slots for arcs that a worker has worked out.
 ARCS = 1 << 20
 
@@ -204,8 +204,9 @@ class Automaton:
             act, u, until = act[go], u[go], until[go]
         return out
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """For each word of byte symbols the ids along the one path that spells it. Words of like length go together."""
+    def encode(self, words: list[str]) -> list[bytes]:
+        """For each word of byte symbols the ids along the one path that spells it, as little-endian unsigned 32-bit integers.
+        Words of like length go together."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         at = 0
@@ -219,7 +220,7 @@ class Automaton:
             at = end
         return out
 
-    def _together(self, words: list[str]) -> list[np.ndarray]:
+    def _together(self, words: list[str]) -> list[bytes]:
         size = np.array([len(w) for w in words], np.int64)
         m, n = len(words), int(size.max())
         raw = np.frombuffer("".join(words).translate(_CODES).encode("latin-1"), np.uint8)
@@ -253,7 +254,8 @@ class Automaton:
             who = who[at[who] > 0]
         owners = np.concatenate(owner)
         by = np.lexsort((np.concatenate(step), owners))
-        return np.split(np.concatenate(ids)[by].astype("<u4"), np.cumsum(np.bincount(owners, minlength=m))[:-1])
+        flat, stop = np.concatenate(ids)[by].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owners, minlength=m))).tolist()
+        return [flat[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
 
 
 class Recent:
@@ -283,10 +285,14 @@ class Recent:
 class Encoder:
     """Encodes texts word by word. encode: from words of byte symbols to their ids."""
 
-    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list[np.ndarray]], keep: int = KEEP):
+    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list[bytes]], keep: int = KEEP):
         def make(words: list) -> list[bytes]:
-            got = iter(encode([symbols(w) for w in words if w.__class__ is str]))
-            return [next(got).tobytes() if w.__class__ is str else w.to_bytes(4, "little") for w in words]
+            spelled = [symbols(w) for w in words if w.__class__ is str]
+            got = encode(spelled)
+            if len(spelled) == len(words):
+                return got
+            each = iter(got)
+            return [next(each) if w.__class__ is str else w.to_bytes(4, "little") for w in words]
 
         self.split, self.table = splitter, Recent(make, keep)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import VOCABULARY, Encoder, automaton, groups, vocabulary_path
-from tessera.llm.common import FORGET, column, mapped, scan, sliced, strings
+from tessera.llm.common import FORGET, column, mapped, scan, strings
 
 LENGTH, END, BLOCK_TOKENS, SPACING, FORCED = 2048, 1, 1 << 19, 32, 256
 #: Prices, in tokens of padding: of a cut at the end of a sentence, and within one.
@@ -126,9 +126,9 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         names: list = []
         raw: list[bytes] = []
         held = 0
-        for batch in sliced(batches):
+        for batch in batches:
             own, at = column(batch, "doc_id").to_pylist(), 0
-            for group in groups(strings(column(batch, "text"))):
+            for group in groups(strings(column(batch, "text")), 1 << 22):
                 for i, x in enumerate(encoder.ids(group), at):
                     names.append(own[i])
                     raw.append(x + end)
