@@ -1,8 +1,8 @@
 """Packing of token sequences by order-preserving dynamic programming.
 
 Each task packs the documents it scans in their order, in blocks of about ``BLOCK_TOKENS`` tokens that end with a document.
-Places where a sequence may end are the ends of documents, the ends of sentences (at a price; one in each ``SPACING``
-tokens) and, where neither comes for ``FORCED`` tokens, places in between (at a higher price). The cuts chosen minimise padding plus these prices over all
+Places where a sequence may end are the ends of documents, the ends of all sentences (at a price) and, where neither comes
+for ``FORCED`` tokens, places in between (at a higher price). The cuts chosen minimise padding plus these prices over all
 choices: the cheapest earlier cut within a sequence's length comes from a monotone queue, so a block takes time in
 proportion to its places. A sequence is padded to its full length, except that one whose length is a power of two stays as
 it is; the places that are a power of two back are tried as well. No data moves between tasks.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import VOCABULARY, Encoder, automaton, groups, vocabulary_path
 from tessera.llm.common import FORGET, column, mapped, scan, strings
 
-LENGTH, END, BLOCK_TOKENS, SPACING, FORCED = 2048, 1, 1 << 19, 32, 256
+LENGTH, END, BLOCK_TOKENS, FORCED = 2048, 1, 1 << 19, 256
+#: Tokens for which one sentence end counts as a place: each end does.
+SPACING = 1
 #: Prices, in tokens of padding: of a cut at the end of a sentence, and within one.
 SENTENCE, WITHIN = 8, 64
 
@@ -45,8 +47,6 @@ def cuts(stop: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> list[int]:
     """Where the sequences of one block end. stop: whether a token ends a sentence; ends: where documents end."""
     total = int(ends[-1])
     sentence = np.flatnonzero(stop) + 1
-    # Of sentence ends the first in each stretch of SPACING tokens counts.
-    sentence = sentence[np.diff(sentence // SPACING, prepend=-1) > 0]
     places = np.union1d(np.union1d(sentence, ends), [0])
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > FORCED)
