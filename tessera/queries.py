@@ -378,8 +378,7 @@ def pagerank(spark, sf_dir):
 @query("""WITH c AS (SELECT 'n:' || n_nationkey AS id, 'r:' || n_regionkey AS r FROM nation), m AS (SELECT r, least(r, min(id)) AS component, count(*) + 1 AS size FROM c GROUP BY 1)
 SELECT id, component, size FROM c JOIN m USING (r) UNION ALL SELECT r, component, size FROM m UNION ALL SELECT 'r:' || r_regionkey, 'r:' || r_regionkey, 1 FROM region WHERE 'r:' || r_regionkey NOT IN (SELECT r FROM m)""")
 def wcc(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return Graph(g.vertices.where("label IN ('nation', 'region')"), g.edges.where("relation = 'PART_OF'")).weak_components()
+    return graph(spark, sf_dir).weak_components()
 
 
 @query(f"WITH {_GRAPH} SELECT id, coalesce(i, 0)::BIGINT AS in_degree, coalesce(o, 0)::BIGINT AS out_degree, (coalesce(i, 0) + coalesce(o, 0))::BIGINT AS total_degree FROM v LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id)")
