@@ -601,6 +601,8 @@ def latest_turn(spark, sf_dir):
 @query("SELECT user_id AS txn, event_id % 50 AS key FROM events WHERE event_id < 2000 AND event_id < (SELECT max(e2.event_id) FROM events e2 WHERE e2.event_id % 50 = events.event_id % 50)")
 def mvcc_conflicts(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    writes = e.where("event_id < 2000").select(F.col("user_id").alias("txn"), (F.col("event_id") % 50).alias("key"), F.col("event_id").alias("snapshot_ts"))
+    # Each event is a transaction's step: it writes one key and reads its user's.
+    writes = e.select(F.col("user_id").alias("txn"), (F.col("event_id") % 50).alias("key"), F.col("event_id").alias("snapshot_ts"))
+    reads = e.select(F.col("user_id").alias("txn"), (F.col("user_id") % 50).alias("key"), F.col("event_id").alias("snapshot_ts"))
     committed = e.select((F.col("event_id") % 50).alias("key"), F.col("event_id").alias("commit_ts"))
-    return changes.conflicts(writes, writes.where("false"), committed).select("txn", "key")
+    return changes.conflicts(writes, reads, committed).select("txn", "key")
