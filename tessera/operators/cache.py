@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tessera.operators.vector import distance
 
 
-def nearest_answers(cache: DataFrame, queries: DataFrame, threshold: float = 0.90, now: Column | None = None) -> DataFrame:
+def nearest_answers(cache: DataFrame, queries: DataFrame, threshold: float = 0.90, now: Column | None = None, others: bool = False) -> DataFrame:
     """For each of queries (query_id, vector) the entry of cache (entry_id, vector, expire_at) of greatest cosine, if that
-    reaches the threshold. queries is a stated set, met with all entries in one broadcast of bounded size."""
+    reaches the threshold. queries is a stated set, met with all entries in one broadcast of bounded size. others: a query's own id is no answer to it."""
     live = cache if now is None else cache.where(F.col("expire_at").isNull() | (F.col("expire_at") > now))
     pairs = live.select("entry_id", F.col("vector").alias("ev")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("qv")))).where(F.size("ev") == F.size("qv"))
+    if others:
+        pairs = pairs.where("entry_id != query_id")
     scored = pairs.withColumn("similarity", 1.0 - distance(F.col("ev"), F.col("qv")))
     best = scored.groupBy("query_id").agg(F.max(F.struct("similarity", -F.col("entry_id").cast("long"))).alias("b"), F.max_by("entry_id", F.struct("similarity", -F.col("entry_id").cast("long"))).alias("entry_id"))
     return best.where(F.col("b.similarity") >= threshold).select("query_id", "entry_id", F.col("b.similarity").alias("similarity"))
