@@ -3,7 +3,9 @@
 Words that are rare outside a template point to places in a text that may hold it. There, words that occur once in the
 text and once in the template are anchors; their longest increasing subsequence is kept, and the gaps between anchors are
 aligned in the same way. The share of a template's words that are aligned is its coverage. A match has a coverage of at
-least ``least``; of matches that overlap, the one with the higher coverage stays, then the one with more words.
+least ``least``. Parts of a template that stand apart, whatever lies between them, are joined if they continue one another
+in its order and each adds at least ``PIECE`` aligned words; coverage is then that of the parts aligned as one. A joined
+match holds at most one part that is a match by itself, so copies stay apart. Of matches that overlap, the one with the higher coverage stays, then the one with more words.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, in lower case (A-Z). The whole text is searched.
 
@@ -39,7 +41,7 @@ TEMPLATES = {
 }
 #: Words too common to point to a template.
 COMMON = frozenset("a all an and any are as at be by for from in is it of on or see shall that the this to under use with without you your not may no can either".split())
-LEAST = 0.8
+LEAST, PIECE = 0.8, 4
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -101,6 +103,49 @@ class Template:
         self.rare = rare or set(self.hashes)
 
 
+def _joined(hashes: np.ndarray, t: Template, own: list[int], found: list, least: float) -> list[tuple[str, float, int, int, int]]:
+    """Matches of t made of several parts. own: places of its rare words; found: its matches in one part."""
+    n = len(t.hashes)
+    reach = max(4, n // 4)
+    parts, start = [(m[3], m[4], True) for m in found], 0
+    for end in range(1, len(own) + 1):
+        if end == len(own) or own[end] - own[end - 1] > reach:
+            left = [i for i in own[start:end] if all(not m[3] <= i < m[4] for m in found)]
+            if left:  # what a match in one part has of a run stays with it
+                parts.append((left[0], left[-1] + 1, False))
+            start = end
+    # A run that goes on to both sides of a match is cut by it.
+    for m in found:
+        parts = [x for a, b, w in parts for x in ([(a, m[3], w), (m[4], b, w)] if not w and a < m[3] and b > m[4] else [(a, b, w)])]
+    parts.sort()
+    pieces, floor = [], 0
+    for k, (a, b, whole) in enumerate(parts):
+        if not whole:  # common words about the rare ones belong to them, up to the next part
+            a = max(floor, a - reach)
+            b = min(b + reach, parts[k + 1][0] if k + 1 < len(parts) else len(hashes))
+        floor = b
+        places = list(range(a, b))
+        pairs = align(hashes[a:b].tolist(), t.hashes)
+        if len(pairs) >= PIECE:
+            pieces.append((places, pairs, whole))
+    out, used = [], set()
+    for i, (places, pairs, whole) in enumerate(pieces):
+        if i in used:
+            continue
+        members = [i]
+        for j in range(i + 1, len(pieces)):
+            if len(pairs) == n or (whole and pieces[j][2]):
+                break
+            more = align(hashes[places + pieces[j][0]].tolist(), t.hashes)
+            if len(more) >= len(pairs) + PIECE:
+                places, pairs, whole = places + pieces[j][0], more, whole or pieces[j][2]
+                members.append(j)
+        if len(members) > 1 and len(pairs) >= least * n:
+            used.update(members)
+            out.append((t.name, len(pairs) / n, len(pairs), places[pairs[0][0]], places[pairs[-1][0]] + 1))
+    return out
+
+
 def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, least: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, aligned words, first word, word after the last) in one text."""
     hits = np.flatnonzero(np.isin(hashes, rare))
@@ -109,7 +154,7 @@ def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, lea
     found, words = [], hashes[hits].tolist()
     for t in templates:
         own = [int(hits[i]) for i, h in enumerate(words) if h in t.rare]
-        n = len(t.hashes)
+        n, before = len(t.hashes), len(found)
         at = floor = 0  # floor: the end of the match before
         while at < len(own):  # places that lie close together
             end = at + 1
@@ -138,6 +183,8 @@ def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, lea
                     break
                 else:
                     x = max(x + 1, bisect_left(group, first + n))
+        if len({w for w in words if w in t.rare}) >= 0.5 * len(t.rare):
+            found += _joined(hashes, t, own, found[before:], least)
     kept: list[tuple[str, float, int, int, int]] = []
     for m in sorted(set(found), key=lambda m: (-m[1], -m[2], m[3], m[0])):
         if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
