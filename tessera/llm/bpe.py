@@ -3,9 +3,13 @@
 ``Automaton`` compiles the merges of a vocabulary into a deterministic automaton over tokens: its accepted paths are the
 sequences that BPE produces. It starts as one state with a loop for each byte symbol. Each merge (u, v) in turn is a
 gadget: the state after u is split into one that lacks the arc v, and wherever u then v could be read, an arc for uv leads
-to where v led. A split state differs from its origin by the one arc it lacks and the time of the split, so that is all
-that is stored; whether a state has an arc follows from these tables. A word has exactly one accepted path, found by one
-pass over its bytes through a trie of arc labels; decoding emits the labels of the arcs.
+to where v led. All arcs of one label end in one state, so the compiled automaton is the state after each label (``after``)
+and which labels each state has arcs for. Of that table (states x labels) a slot is filled when it is first asked for, from
+the splits that lead to the state: a split state differs from its origin by the one arc it lacks and the time of the split.
+
+A word is read symbol by symbol, many words at once: one step per symbol through a table of the labels' common beginnings,
+and one look at the arcs for each label that ends there. Exactly one path spells each beginning of a word, so each place has
+at most one state. Decoding emits the labels of the arcs.
 
 Words that recur are encoded once for each worker (in tables of bounded size that hold no part of the result).
 
@@ -94,7 +98,7 @@ def symbols(word: str) -> str:
 
 class Automaton:
     """Merges compiled to tables: the parts of each token and the time of the gadget that made its arc, and the splits, each
-    by the token whose state was split and the arc taken from it, with its time."""
+    by the token whose state was split and the arc taken from it, with its time. after: the state that each label leads to."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         n = len(vocab)
@@ -124,7 +128,11 @@ class Automaton:
         self.split_keys = np.array(sorted(splits), np.int64)
         self.split_times = np.array([splits[k] for k in self.split_keys.tolist()], np.int64)
         self.states = len(self.origin)
-        del self.origin, self.lacks, self.split_at  # needed while merges are compiled only
+        del self.origin, self.lacks, self.split_at  # the slots of the table are worked out from the splits above
+        self.after = np.array(after, np.int64)
+        self.reads = np.full(self.states, -1, np.int64)  # a label that leads to each state; the start is state 0
+        self.reads[self.after[::-1]] = np.arange(n)[::-1]
+        self.reads[0] = -1
         self._tables({i: s for s, i in vocab.items() if self.live[i] and (i in products or len(s.removesuffix(end)) == 1)})
 
     def _tables(self, arcs: dict[int, str]) -> None:
@@ -167,17 +175,16 @@ class Automaton:
                 state = origin[state]
         return True
 
-    def have(self, before: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Whether the state after each token of before (-1: the start) has an arc for x. Arcs asked for before are read from
-        a table, the others are worked out once."""
-        key = ((before.astype(np.int64) + 1) << 20) | x
+    def have(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc for x: slots of the table of arcs, filled when they are first asked for."""
+        key = state << 20 | x
         slot = (mix(key.view(np.uint64)) & np.uint64(ARCS - 1)).astype(np.int64)
         entry = self.arcs[slot]
         out = (entry & 1).astype(bool)
         miss = np.flatnonzero(entry >> 1 != key)
         if len(miss):
             fresh, back = np.unique(key[miss], return_inverse=True)
-            got = self._work_out((fresh >> 20) - 1, fresh & 0xFFFFF)[back]
+            got = self._work_out(self.reads[fresh >> 20], fresh & 0xFFFFF)[back]
             out[miss] = got
             self.arcs[slot[miss]] = key[miss] << 1 | got
         return out
@@ -227,22 +234,23 @@ class Automaton:
         row = np.repeat(np.arange(m), size)
         symbols = np.zeros((n, m), np.uint8)
         symbols[np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size), row] = raw
-        last, came = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)  # the token that ends here, and its start
-        for i in range(n):
-            who = np.flatnonzero(size > i) if not i else np.flatnonzero((last[i] >= 0) & (size > i))
-            state = last[i, who]
-            node = np.zeros(len(who), np.int32)
-            for j in range(i, n):
-                node = self.step[np.minimum(node, self.inner), symbols[j, who]]
-                go = np.flatnonzero((node >= 0) & (size[who] > j))
-                who, state, node = who[go], state[go], node[go]
-                if not len(who):
-                    break
-                x = np.where(size[who] == j + 1, self.final[node], self.token[node])
-                new = np.flatnonzero((x >= 0) & (last[j + 1, who] < 0))
-                new = new[self.have(state[new], x[new])]
-                last[j + 1, who[new]] = x[new]
-                came[j + 1, who[new]] = i
+        last, came = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)  # the label that ends here, and its start
+        none = np.zeros(0, np.int64)
+        who, start, state, node = none, none, none, none.astype(np.int32)  # labels that are being read: of which word, from where
+        for j in range(n):
+            begin = np.flatnonzero(size > j) if not j else np.flatnonzero((last[j] >= 0) & (size > j))
+            who, start = np.concatenate((who, begin)), np.concatenate((start, np.full(len(begin), j)))
+            state = np.concatenate((state, self.after[last[j, begin]] if j else np.zeros(len(begin), np.int64)))
+            node = np.concatenate((node, np.zeros(len(begin), np.int32)))
+            node = self.step[np.minimum(node, self.inner), symbols[j, who]]
+            done = size[who] == j + 1
+            x = np.where(done, self.final[node], self.token[node])
+            new = np.flatnonzero((node >= 0) & (x >= 0))
+            new = new[self.have(state[new], x[new].astype(np.int64))]
+            last[j + 1, who[new]] = x[new]
+            came[j + 1, who[new]] = start[new]
+            go = np.flatnonzero((node >= 0) & ~done)
+            who, start, state, node = who[go], start[go], state[go], node[go]
         # Back along each path, all words at once.
         at, ids, owner, step = size.copy(), [], [], []
         who = np.flatnonzero(at > 0)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +25,21 @@ BLOCK = 1 << 20
 BATCH = 8 << 20
 #: What empties the tables that modules keep for a worker's next tasks; the operator whose tasks the worker ran last.
 FORGET: list[Callable[[], None]] = []
+#: Paths of the tables that operators have written in this session.
+TABLES: list[str] = []
+#: A key that more rows share is hot: its rows are not dealt by it.
+HOT = 500
 _OWNER = [""]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one on a single machine,
+    as in tests, and an error on a cluster, whose machines share no such folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -41,12 +50,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder."""
+    """df as a table in the shared checkpoint folder, until release()."""
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever the session's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the tables that operators have written since the first keep ones, when no result needs them any more."""
+    while len(TABLES) > keep:
+        remove(spark, TABLES.pop())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,21 +94,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.cumprod(np.array([1] + [b] * (n - 1), np.uint64), dtype=np.uint64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = Powers(0x9E3779B97F4A7C15), (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+#: Which bytes of a word's last eight count, by how many it has left.
+_MASKS = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 64
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class Words:
@@ -105,25 +117,59 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _BYTE_POWERS.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word's bytes: eight at a time, mixed after each eight, so that no two words of up to eight
+        bytes meet and no arithmetic pattern of longer ones does."""
+        size = self.ends - self.starts
+        out = mix(size.astype(np.uint64) * _A)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eights = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))
+        act = np.flatnonzero(size <= _LONG) if len(size) and size.max() > _LONG else np.arange(len(size))
+        at, left = self.starts[act], size[act]
+        while len(act):
+            out[act] = mix(out[act] * _B ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+            go = np.flatnonzero(left > 8)
+            act, at, left = act[go], at[go] + 8, left[go] - 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+        return out
 
     def texts(self, i: int) -> list[bytes]:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes().split()
 
 
-def windows(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A hash of each run of width hashes; which (0 or 1) chooses one of two independent functions."""
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width hashes, from those of its halves, quarters and so on."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = _WORD_POWERS[which].upto(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+    out, block, size, at, left = None, mix(hashes ^ _C), 1, 0, width
+    while left:
+        if left & 1:
+            part = block[at : at + n - width + 1]
+            out = part if out is None else mix(out * _A ^ part)
+            at += size
+        left >>= 1
+        if left:
+            block = mix(block[:-size] * _B ^ block[size:])
+            size *= 2
+    return out
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str], how: str = "inner") -> DataFrame:
+    """rows with the values of groups, which has one row for each of the keys and, in n, how many of rows share it.
+
+    Rows are dealt by their keys, but for those of hot keys: these stay spread, and meet their group's row where they are.
+    The hot keys are at most four for each shuffle partition, the commonest first, so that what is broadcast is bounded and
+    any other key has less than a quarter of a partition's share of the rows. Null keys meet nothing."""
+    packed = groups.select(*keys, "n", F.struct(*values).alias("__cold"))
+    hot = packed.where(F.col("n") > HOT).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys, F.col("__cold").alias("__hot"))
+    spread = F.when(F.col("__hot").isNotNull() | F.greatest(*(F.col(k).isNull() for k in [*keys, keys[0]])), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread)
+    joined = marked.join(packed.select(*keys, "__cold", F.lit(0).cast("long").alias("__salt")), [*keys, "__salt"], "left").withColumn("__met", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        joined = joined.where("__met IS NOT NULL")
+    return joined.select(*rows.columns, *(F.col(f"__met.{v}").alias(v) for v in values))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

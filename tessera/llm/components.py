@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, meet
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return meet(both.where("v > u"), low, ["u"], ["m"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    stars = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    stars = meet(down, low, ["u"], ["m"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return stars.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -29,9 +29,10 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v: long, u != v) to (node, component): the smallest node reachable from each node that has an edge.
 
-    A round is a grouped minimum and a join with one row per node, so no neighbourhood is ever gathered; the number of
-    rounds grows with the logarithm of the diameter. Each round is cut from its lineage in the shared folder."""
-    edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    A round is a grouped minimum and a join with one row per node, where the edges of a node with very many stay spread, so
+    no neighbourhood is ever gathered; the number of rounds grows with the logarithm of the diameter. Each round is cut from
+    its lineage in the shared folder. An edge with a null end links nothing."""
+    edges = cut_lineage(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     before = _state(edges)
     while before[0]:
         edges = cut_lineage(_small_star(_large_star(edges)))

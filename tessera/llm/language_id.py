@@ -2,12 +2,14 @@
 
 Each language has a model of the letters of its words (order ``ORDER``, within a word and its bounds): raw counts at the
 highest order, continuation counts below, absolute discounts estimated for each order. The n-grams of all languages stand
-in one sorted array of 64-bit hashes for each order, with each language's interpolated log probability; contexts and their
-back-off weights likewise. A text goes to the language with the lowest cross-entropy per letter, and is rejected if that
+in one sorted array of 64-bit hashes for each order, each with the languages that have it and their interpolated log
+probabilities; contexts and their back-off weights likewise. So the model grows with the n-grams, not with n-grams times
+languages. A text goes to the language with the lowest cross-entropy per letter, and is rejected if that
 lies above what held-back training texts of the language reach.
 
 The models are fitted on a bounded sample: about ``ROWS`` labelled rows of each language (chosen by a hash of the id), of
-which a fifth calibrates the rejection. Predictions see the text alone.
+which a fifth calibrates the rejection; of the others the ``WORDS`` commonest words of at most ``LETTERS`` letters. Every
+language that has a label is learned, however many there are. Predictions see the text alone.
 
 Defined results: ``und`` with score 0, rejected, where the text is null or has no letter; where no row has a label, all
 texts are ``und`` and those with letters are not rejected. A null id is held out of nothing and never learned from.
@@ -20,17 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import groups
 from tessera.llm.common import column, mapped, mix, residue, scan, sliced, strings, windows
 
-ORDER, ROWS, LANGUAGES, UNKNOWN = 4, 400, 500, 1 / 3000
+ORDER, ROWS, WORDS, LETTERS, UNKNOWN = 4, 400, 50_000, 64, 1 / 3000
 #: Rejection: bits per letter above the calibration's highest, and the allowance for short texts (over the root of letters).
 MARGIN, SHORT = 1.5, 4.0
-#: Pieces of text that a worker keeps scored.
-KEEP = 100_000
+#: Pieces of text that a worker keeps scored (fewer with more than 40 languages), and values in a table of its work.
+KEEP, CELLS = 100_000, 4_000_000
 _LETTERS = regex.compile(r"\p{L}+").findall
 _START, _STOP = 1, 2
 
@@ -58,68 +60,77 @@ def _grams(letters: np.ndarray, place: np.ndarray, k: int):
     return end[ok], h[ok], context, suffix, place[end[ok]] == k - 1
 
 
+def _sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each one's entries begin, and the entries' languages and log2 values."""
+    key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.append(first, len(key)), owner[by], np.log2(np.concatenate(values)[by]).astype(np.float32)
+
+
+def _entries(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of keys: which of the keys, language, value."""
+    known, first, owner, value = table
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    hit = np.flatnonzero(known[at] == keys) if len(known) else np.zeros(0, np.int64)
+    begin, times = first[at[hit]], first[at[hit] + 1] - first[at[hit]]
+    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+    return np.repeat(hit, times), owner[place], value[place]
+
+
 class Model:
-    """names of the languages; for each order the sorted hashes of grams and contexts with log2 values by language."""
+    """names of the languages; for each order the sorted hashes of grams and of contexts, with the entries of each."""
 
     def __init__(self, words: dict[str, dict[str, int]]):
         self.names = sorted(words)
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.orders: list[tuple[tuple, tuple]] = []
         self.limits = np.full(len(self.names), np.inf)
-        laid = [(*_layout(list(words[x])), np.array(list(words[x].values()), np.float64)) for x in self.names]
-        lower = None
+        made = [self._language(words[x]) for x in self.names]
+        for k in range(ORDER):
+            grams = _sorted([m[k][0] for m in made], [m[k][1] for m in made])
+            self.orders.append((grams, _sorted([m[k][2] for m in made], [m[k][3] for m in made])))
+
+    @staticmethod
+    def _language(words: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order: sorted grams with their probabilities, sorted contexts with their back-off weights."""
+        letters, place, word = _layout(list(words))
+        count, out = np.array(list(words.values()), np.float64), []
         for k in range(1, ORDER + 1):
-            found = []
-            for letters, place, word, count in laid:
-                end, h, context, suffix, at_start = _grams(letters, place, k)
-                if k < ORDER:
-                    # How many different letters precede the gram; where a word begins none does, so its tokens count.
-                    _, longer, _, tail, _ = _grams(letters, place, k + 1)
-                    _, first = np.unique(longer, return_index=True)
-                    kinds, times = np.unique(tail[first], return_counts=True)
-                    starts, where = np.unique(h[at_start & (place[end] == k - 1)], return_inverse=True)
-                    tokens = np.bincount(where, count[word[end[at_start]]], len(starts)) if k > 1 else np.zeros(len(starts))
-                    gram, back = np.unique(np.concatenate((kinds, starts)), return_inverse=True)
-                    c = np.bincount(back, np.concatenate((times, tokens)), len(gram))
-                else:
-                    gram, back = np.unique(h, return_inverse=True)
-                    c = np.bincount(back, count[word[end]], len(gram))
-                order = np.argsort(h, kind="stable")
-                pick = order[np.searchsorted(h[order], gram)]
-                found.append((gram, c, context[pick], suffix[pick]))
-            gram, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
-            context, suffix = (np.concatenate([f[i] for f in found])[first] for i in (2, 3))
-            contexts = np.unique(context)
-            below = np.full((len(gram), len(self.names)), UNKNOWN)
-            if lower is not None:
-                below = lower[1][np.searchsorted(lower[0], suffix)]
-            p, g = np.empty_like(below), np.ones((len(contexts), len(self.names)))
-            of = np.searchsorted(contexts, context)
-            for i, (own, c, own_context, _) in enumerate(found):
-                once, twice = float((c == 1).sum()), float((c == 2).sum())
-                d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-                to = np.searchsorted(contexts, own_context)
-                total, kinds = np.bincount(to, c, len(contexts)), np.bincount(to, minlength=len(contexts))
-                seen = total > 0
-                g[seen, i] = d * kinds[seen] / total[seen]
-                full = np.zeros(len(gram))
-                full[np.searchsorted(gram, own)] = np.maximum(c - d, 0)
-                p[:, i] = full / np.maximum(total[of], 1) + g[of, i] * below[:, i]
-            lower = gram, p
-            self.orders.append((gram, np.log2(p).astype(np.float32), contexts, np.log2(g).astype(np.float32)))
+            end, h, context, suffix, at_start = _grams(letters, place, k)
+            if k < ORDER:
+                # How many different letters precede the gram; where a word begins none does, so its tokens count.
+                _, longer, _, tail, _ = _grams(letters, place, k + 1)
+                _, first = np.unique(longer, return_index=True)
+                kinds, times = np.unique(tail[first], return_counts=True)
+                starts, where = np.unique(h[at_start], return_inverse=True)
+                tokens = np.bincount(where, count[word[end[at_start]]], len(starts)) if k > 1 else np.zeros(len(starts))
+                gram, back = np.unique(np.concatenate((kinds, starts)), return_inverse=True)
+                c = np.bincount(back, np.concatenate((times, tokens)), len(gram))
+            else:
+                gram, back = np.unique(h, return_inverse=True)
+                c = np.bincount(back, count[word[end]], len(gram))
+            order = np.argsort(h, kind="stable")
+            pick = order[np.searchsorted(h[order], gram)]
+            below = np.full(len(gram), UNKNOWN) if not out else out[-1][1][np.searchsorted(out[-1][0], suffix[pick])]
+            contexts, of = np.unique(context[pick], return_inverse=True)
+            once, twice = float((c == 1).sum()), float((c == 2).sum())
+            d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+            total = np.bincount(of, c, len(contexts))
+            g = np.where(total > 0, d * np.bincount(of, minlength=len(contexts)) / np.maximum(total, 1e-9), 1.0)
+            out.append((gram, np.maximum(c - d, 0) / np.maximum(total[of], 1) + g[of] * below, contexts, g))
+        return out
 
     def words(self, words: list[str]) -> np.ndarray:
         """For each word the log2 probability in each language and, last, the number of letters predicted."""
         letters, place, word = _layout(words)
         value = np.full((len(letters), len(self.names)), np.log2(UNKNOWN), np.float32)
-        for k, (gram, p, contexts, g) in enumerate(self.orders, 1):
+        for k, (grams, contexts) in enumerate(self.orders, 1):
             end, h, context, _, _ = _grams(letters, place, k)
-            at = np.minimum(np.searchsorted(gram, h), len(gram) - 1)
-            hit = gram[at] == h
-            value[end[hit]] = p[at[hit]]
-            end, context = end[~hit], context[~hit]
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            hit = contexts[at] == context
-            value[end[hit]] += g[at[hit]]
+            which, language, g = _entries(contexts, context)
+            value[end[which], language] += g
+            which, language, p = _entries(grams, h)
+            value[end[which], language] = p  # it has the lower orders in it
         out = np.zeros((len(words), len(self.names) + 1))
         told = place > 0
         for i in range(len(self.names)):
@@ -134,9 +145,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.place = model, {}
         self.values = np.zeros((0, len(model.names) + 1))
+        self.keep, self.step = min(KEEP, CELLS // len(model.names)), max(1, min(50_000, CELLS // len(model.names) // 8))
 
     def texts(self, values: list[str]) -> np.ndarray:
-        if len(self.place) > KEEP:
+        if len(self.place) > self.keep:
             self.place, self.values = {}, self.values[:0]
         cut = [t.split() for t in values]
         fresh = list(set().union(*cut) - self.place.keys())
@@ -144,7 +156,7 @@ class Scorer:
         flat = sorted({w for ws in words for w in ws})
         new = np.zeros((len(fresh), self.values.shape[1]))
         if flat:
-            scored = np.concatenate([self.model.words(flat[a : a + 50_000]) for a in range(0, len(flat), 50_000)])
+            scored = np.concatenate([self.model.words(flat[a : a + self.step]) for a in range(0, len(flat), self.step)])
             index = {w: i for i, w in enumerate(flat)}
             np.add.at(new, np.repeat(np.arange(len(fresh)), [len(ws) for ws in words]), scored[[index[w] for ws in words for w in ws]])
         self.place.update(zip(fresh, range(len(self.values), len(self.values) + len(fresh)), strict=True))
@@ -175,15 +187,15 @@ def _measured(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit(labelled: DataFrame) -> Model | None:
     """labelled: doc_id, text, lang (none of them null). None without rows."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return None
-    rate = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, ROWS / n))))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = labelled.where(draw < rate[F.col("lang")]).withColumn("back", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(5)) == 0)
-    split = sample.where("NOT back").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''")
+    # One row for each language, as in the model itself.
+    sample = labelled.join(F.broadcast(sizes), "lang").where(draw < ROWS / F.col("rows")).withColumn("back", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(5)) == 0)
+    split = sample.where("NOT back").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where((F.col("w") != "") & (F.length("w") <= LETTERS))
+    counted = split.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("rank") <= WORDS)
     words: dict[str, dict[str, int]] = {}
-    for r in split.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in common.toLocalIterator():
         words.setdefault(r["lang"], {})[r["w"]] = r["n"]
     if not words:
         return None

@@ -25,11 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Powers, column, mix, residue, scan, texts, written
+from tessera.llm.common import column, mix, residue, scan, texts, written
 
 VOCABULARY, HEAD, DISCOUNT, SMOOTH, ROUNDS = "piece_bpe_32k.model", 50_000, 0.75, 0.01, 2
 #: Distinct words that a task holds before it passes their counts on.
 HOLD = 200_000
+
+
+class Powers:
+    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.array([1] + [b] * (n - 1), np.uint64), dtype=np.uint64) for b in (self.base, self.inverse))
+        return self.up[:n], self.down[:n]
+
+
 _POWERS = Powers(0x9E3779B97F4A7C15)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
 

@@ -27,8 +27,6 @@ from tessera.llm.bpe import VOCABULARY, Encoder, automaton, groups, vocabulary_p
 from tessera.llm.common import FORGET, column, mapped, scan, strings
 
 LENGTH, END, BLOCK_TOKENS, FORCED = 2048, 1, 1 << 19, 256
-#: Tokens for which one sentence end counts as a place: each end does.
-SPACING = 1
 #: Prices, in tokens of padding: of a cut at the end of a sentence, and within one.
 SENTENCE, WITHIN = 8, 64
 

@@ -3,9 +3,10 @@
 A fingerprint of 64 bits is cut into four blocks. Two fingerprints that differ in at most two bits share at least two
 whole blocks, so each fingerprint is keyed by its six pairs of blocks; fingerprints that share a key are joined and their
 Hamming distance verified. Only distinct fingerprints take part, each under its smallest document, so copies never pair.
-A key that more than ``most`` distinct fingerprints share is not joined with itself: its fingerprints are keyed by every
-fingerprint at distance one or less instead, and two of them share such a key exactly if they differ in two bits or
-fewer. At most 65 fingerprints can share one of these keys, whatever the group's size.
+A key that more than ``most`` distinct fingerprints share is not joined with itself, which would pair them all: its
+fingerprints are keyed by every fingerprint at distance one or less instead (the finest of blocks), and two of them share
+such a key exactly if they differ in two bits or fewer. At most 65 fingerprints can share one of these keys, whatever the
+group's size, so no link is lost and none is verified in vain.
 
 Defined results: null texts count as empty; a text without words has fingerprint zero and links like any other; rows
 whose id is null get a fingerprint and no component, and link nothing.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut_lineage, mapped, scan, texts
+from tessera.llm.common import column, cut_lineage, mapped, meet, scan, texts
 from tessera.llm.components import components
 
 BITS, BLOCKS, DISTANCE, SEED, MOST = 64, 4, 2, 42, 64
@@ -66,7 +67,7 @@ def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
     keyed = prints.select("fp", "node", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "node")
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(keyed.join(sizes, ["t", "key"]))
+    members = cut_lineage(meet(keyed, sizes.withColumn("size", F.col("n")), ["t", "key"], ["size"]).withColumnRenamed("size", "n"))
     small = members.where(F.col("n") <= most)
     a, b = small.select("t", "key", F.col("fp").alias("fa"), F.col("node").alias("u")), small.select("t", "key", F.col("fp").alias("fb"), F.col("node").alias("v"))
     pairs = a.join(b, ["t", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= DISTANCE)).select("u", "v")
@@ -81,10 +82,10 @@ def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:
 def near_components(docs: DataFrame, shingle: int = 3, most: int = MOST) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     prints = cut_lineage(fingerprints(docs, shingle))
-    distinct = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
+    distinct = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     found = components(near_links(distinct, most))
-    labels = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = distinct.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return meet(prints, labels, ["fp"], ["component_id"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,11 @@
 Two documents that share ``length`` consecutive words share, at some offset below ``period``, a word position that is in
 the difference cover (modulo the period) in both of them. So only windows of ``length - period + 1`` words at cover
 positions are hashed; anchors that occur in one document alone end there. The others extend: every full window around
-them gets a 128-bit hash of its words, and the smallest document of each full window decides. An anchor's smallest and
+them gets a BLAKE2 digest (128 bits) of its words themselves, and the smallest document of each full window decides. An anchor's smallest and
 greatest documents tell which side its windows are on: those of documents below the greatest are offered, those of
 documents above the smallest are asked for. Nothing pairs documents:
 each step is a grouped minimum or a join with one row per hash, so a passage that a third of all documents share costs a
-row for each of its occurrences.
+row for each of its occurrences, and these rows stay spread over all tasks (``meet``).
 
 Defined results: null texts count as empty; documents of fewer than ``length`` words lose nothing; rows that repeat one
 id count as one document (they never remove one another, each row gets its own result); rows whose id is null neither
@@ -16,6 +16,7 @@ remove nor lose words. Other columns of the input are ignored unless named in ``
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, column, mapped, normalised, partitions, scan, texts, windows
+from tessera.llm.common import Words, column, mapped, meet, normalised, partitions, scan, texts, windows
 
 PERIOD = 31
 #: A perfect difference set modulo 31 (fixed values): every offset is a difference of two of its members.
@@ -65,12 +66,10 @@ def _full_windows(length: int, side: str):
             ids, marks = column(batch, "doc_id").to_numpy(zero_copy_only=False), column(batch, "th").to_numpy(zero_copy_only=False)
             where = column(batch, side)
             for a, b, data, bounds in texts(column(batch, "text")):
-                w = Words(data, bounds)
-                h = w.hashes()
-                high, low = windows(h, length), windows(h, length, 1)
-                rows, starts = [], []
+                digests, rows, starts = [], [], []
                 for i in range(a, b):
-                    first, n = int(w.first[i - a]), int(w.first[i - a + 1] - w.first[i - a])
+                    words = data[bounds[i - a] : bounds[i - a + 1]].tobytes().split()
+                    n = len(words)
                     if n < length:
                         continue
                     p = where[i].values.to_numpy()
@@ -78,11 +77,14 @@ def _full_windows(length: int, side: str):
                     np.add.at(hit, np.clip(p - PERIOD + 1, 0, n - length + 1), 1)
                     np.add.at(hit, np.clip(p + 1, 0, n - length + 1), -1)
                     q = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-                    starts.append(q + first)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+                    begins = np.concatenate(([0], ends[:-1] + 1))
+                    joined = memoryview(b" ".join(words))
+                    digests += [hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in zip(begins[q].tolist(), ends[q + length - 1].tolist(), strict=True)]
+                    starts.append(q.astype(np.int32))
                     rows.append(np.full(len(q), i))
-                s, r = _flat(starts, np.int64), _flat(rows, np.int64)
-                at = (s - w.first[r - a]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(high[s].view(np.int64)), pa.array(low[s].view(np.int64)), pa.array(ids[r]), pa.array(marks[r]), pa.array(at)], ["hi", "lo", "doc_id", "th", "pos"])
+                r, both = _flat(rows, np.int64), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(ids[r]), pa.array(marks[r]), pa.array(_flat(starts, np.int32))], ["hi", "lo", "doc_id", "th", "pos"])
 
     return run
 
@@ -123,8 +125,8 @@ def _copies(rows: DataFrame) -> DataFrame:
     """(doc_id, ths): rows all of whose words, in order, are those of a row with a smaller id."""
     digest = F.unhex(F.sha2(F.trim(normalised(F.col("text"))), 256))
     named = rows.select("doc_id", F.xxhash64("text").alias("th"), digest.alias("digest"))
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("digest", "a")
-    return named.join(first, "digest").where("doc_id > a").groupBy("doc_id").agg(F.collect_set("th").alias("ths"))
+    first = named.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    return meet(named, first, ["digest"], ["a"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("th").alias("ths"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), texts_too: bool = False) -> DataFrame:
@@ -142,14 +144,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     moved = named.withColumn("th", F.xxhash64("text")).repartition(n, "doc_id")
     marked = moved.join(_copies(named), "doc_id", "left").withColumn("whole", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("ths")
     anchors = mapped(marked.where("NOT whole").select("doc_id", "text", *others), _anchors(length), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    met = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") < F.col("b"), F.col("pos"))).alias("offer"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("pos"))).alias("ask"))
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    met = meet(anchors, shared, ["h"], ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") < F.col("b"), F.col("pos"))).alias("offer"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("pos"))).alias("ask"))
     placed = marked.where("NOT whole").join(met, "doc_id")
     schema = "hi long, lo long, doc_id long, th long, pos int"
     ask = mapped(placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others), _full_windows(length, "ask"), schema)
     offer = mapped(placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others), _full_windows(length, "offer"), schema)
-    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"))
-    cuts = ask.join(earliest, ["hi", "lo"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
+    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n"))
+    cuts = meet(ask, earliest, ["hi", "lo"], ["a"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
     inputs = ["doc_id", "text", "th", "whole", "at", *others]
     joined = marked.join(cuts, "doc_id", "left").select(*inputs)
     unnamed = rows.where("doc_id IS NULL").withColumns({"th": F.lit(0).cast("long"), "whole": F.lit(False), "at": F.lit(None).cast(cuts.schema["at"].dataType)}).select(*inputs)

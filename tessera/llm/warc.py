@@ -6,10 +6,14 @@ records (record identifier, frame, offset and length in the unpacked frame). One
 The archive is written by Spark's own committed writer, so a task that runs again leaves no second copy.
 
 Of records with equal payloads (SHA-256 and length) the one with the smallest page id is a response, the others revisit it.
-Rows meet by page, so pages with one common payload aren't gathered.
+Rows meet by page, so pages with one common payload aren't gathered, nor are rows that repeat one page.
+
+``read`` goes through each bundle's index, from identifiers to frames and places in them; ``fetch`` gets some records by
+their identifiers; ``export`` writes the bundles as files that WARC tools for Zstandard open.
 
 Defined results: null html is an empty payload; a null url leaves out the target; a row whose id is null or repeats the
-smallest id of its payload is a response.
+smallest id of its payload is a response. Identifiers are unique: rows that repeat a page and payload have a number at the
+end, but for the first of them, to which revisits refer. Other columns are ignored; no page makes no bundle.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, scan, written
+from tessera.llm.common import column, meet, scan, written
 
 FRAME, BUNDLE = 1 << 18, 1 << 23
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -38,15 +42,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int | None, sha1: str) -> str:
-    return f"<urn:x-page:{'' if page is None else page}:{sha1}>"
+def record_id(page: int | None, sha1: str, copy: int = 0) -> str:
+    return f"<urn:x-page:{'' if page is None else page}:{sha1}{f':{copy}' if copy else ''}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, first: int | None) -> tuple[str, bytes]:
-    """Its identifier and bytes; first: the page it revisits."""
+def record(page: int | None, url: str | None, payload: bytes, first: int | None, copy: int = 0) -> tuple[str, bytes]:
+    """Its identifier and bytes; first: the page it revisits; copy: what tells it from others of its page and payload."""
     sha1 = digest(payload)
+    name = record_id(page, sha1, copy)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, sha1)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]-._')}")
     if first is None:
@@ -54,7 +59,7 @@ def record(page: int | None, url: str | None, payload: bytes, first: int | None)
     else:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, sha1)}"]
     head.append(f"Content-Length: {len(block)}")
-    return record_id(page, sha1), "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes, at: int = 0) -> Iterator[dict]:
@@ -72,7 +77,7 @@ def parse(data: bytes, at: int = 0) -> Iterator[dict]:
         sha1, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
         if not revisit and (digest(payload) != sha1 or len(payload) != int(sizes["Content-Length"])):
             raise ValueError(f"{head['WARC-Record-ID']} doesn't match its digest")
-        page = lambda x: int(p) if (p := x.split(":")[2]) else None
+        page = lambda x: int(p) if (p := x.strip("<>").split(":")[2]) else None
         yield {"record_id": head["WARC-Record-ID"], "page_id": page(head["WARC-Record-ID"]), "url": head.get("WARC-Target-URI"), "record_type": head["WARC-Type"], "payload_digest": sha1, "payload_bytes": int(sizes["Content-Length"]), "refers_to": page(head["WARC-Refers-To"]) if revisit else None, "payload": None if revisit else payload}
 
 
@@ -104,11 +109,16 @@ def unpack(data: bytes, frame: tuple[int, int, int]) -> bytes:
 
 def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) as rows of an archive. Payloads under least bytes are never revisited."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha2("html", 256))).withColumn("size", F.octet_length("html"))
-    ids = rows.where(F.col("size") >= least).select("page_id", "sha", "size")
-    first = ids.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "size", "first")
-    again = ids.join(first, ["sha", "size"]).where("page_id > first").select("page_id", "sha", "size", "first").distinct()
-    typed = rows.join(again, ["page_id", "sha", "size"], "left").select("page_id", "url", "html", "first")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256))).withColumn("size", F.octet_length("html"))
+    each = rows.groupBy("page_id", "sha", "size").agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("n"))
+    able = each.where((F.col("size") >= least) & F.col("page_id").isNotNull())
+    first = able.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    again = meet(able, first, ["sha", "size"], ["first"]).where("page_id > first").unionByName(able.where("n > 1").withColumn("first", F.lit(None).cast("long")))
+    again = again.groupBy("page_id", "sha", "size").agg(F.max("first").alias("first"), F.max("lead").alias("lead"), F.max("n").alias("n"))
+    copy = F.when(F.col("page_id").isNull() | ((F.col("n") > 1) & (F.col("at") != F.col("lead"))), F.col("at") + 1).otherwise(0)
+    typed = meet(rows, again.withColumn("times", F.col("n")), ["page_id", "sha", "size"], ["first", "lead", "times"], "left").withColumnRenamed("times", "n")
+    typed = typed.select("page_id", "url", "html", "first", copy.cast("long").alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -122,8 +132,8 @@ def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
 
         for batch in batches:
             for k in range(len(batch)):
-                page, url, html, first_page = (column(batch, x)[k].as_py() for x in ("page_id", "url", "html", "first"))
-                name, raw = record(page, url, html.encode(), first_page)
+                page, url, html, first_page, copy = (column(batch, x)[k].as_py() for x in ("page_id", "url", "html", "first", "copy"))
+                name, raw = record(page, url, html.encode(), first_page, copy)
                 index.append({"record_id": name, "frame": len(frames), "offset": len(now), "length": len(raw)})
                 now += raw
                 if len(now) >= FRAME:
@@ -142,24 +152,54 @@ def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def read(archive: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of an archive: record_id, page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload."""
+    """All records of an archive, each where its bundle's index has it: record_id, page_id, url, record_type, payload_digest,
+    payload_bytes, refers_to, payload. A record that isn't the one its identifier names is an error."""
     kinds = [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in column(batch, "data"):
+            for data, records in zip(column(batch, "data"), column(batch, "records").to_pylist(), strict=True):
                 raw = data.as_py()
-                for frame in seek_table(raw):
-                    found = list(parse(unpack(raw, frame)))
+                for k, frame in enumerate(seek_table(raw)):
+                    whole = unpack(raw, frame)
+                    found = [_at(whole, r) for r in records if r["frame"] == k]
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in kinds], [n for n, _ in kinds])
 
-    return archive.select("data").mapInArrow(run, "record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * payloads)
+    return archive.select("data", "records").mapInArrow(run, "record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * payloads)
+
+
+def _at(frame: bytes, place: dict) -> dict:
+    """The record that an index entry places in an unpacked frame."""
+    (found,) = parse(frame[place["offset"] : place["offset"] + place["length"]])
+    if found["record_id"] != place["record_id"]:
+        raise ValueError(f"{place['record_id']} isn't at byte {place['offset']} of its frame")
+    return found
+
+
+def export(archive: DataFrame, folder: str) -> DataFrame:
+    """Writes each bundle as a file folder/part-...warc.zst, to any file system that PyArrow has, and gives (bundle, bytes).
+    A task that runs again writes the same names, each put in place once it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            for name, data in zip(column(batch, "bundle").to_pylist(), column(batch, "data"), strict=True):
+                raw, new = data.as_py(), f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(new) as f:
+                    f.write(raw)
+                store.move(new, f"{at}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(raw)], pa.int64())], ["bundle", "bytes"])
+
+    return archive.select("bundle", "data").mapInArrow(run, "bundle string, bytes long")
 
 
 def fetch(archive: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records of wanted (record_id), each by unpacking the one frame that holds it."""
     at = archive.select("bundle", F.explode("records").alias("r")).select("bundle", "r.*").join(wanted.select("record_id").distinct(), "record_id", "left_semi")
-    by = at.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))
+    by = at.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +208,7 @@ def fetch(archive: DataFrame, wanted: DataFrame) -> DataFrame:
                 table = seek_table(raw)
                 for p in places:
                     frame = frames.setdefault(p["frame"], None) or frames.update({p["frame"]: unpack(raw, table[p["frame"]])}) or frames[p["frame"]]
-                    found += parse(frame[p["offset"] : p["offset"] + p["length"]])
+                    found.append(_at(frame, p))
                 yield pa.RecordBatch.from_arrays([pa.array([r["record_id"] for r in found]), pa.array([r["record_type"] for r in found]), pa.array([r["payload"] for r in found], pa.binary())], ["record_id", "record_type", "payload"])
 
     return archive.select("bundle", "data").join(by, "bundle").mapInArrow(run, "record_id string, record_type string, payload binary")

@@ -191,9 +191,7 @@ def test_packing_is_optimal_on_small_cases():
         stop = np.array([RND.random() < 0.2 for _ in range(n)])
         ends = np.unique(np.append(np.array([i for i in range(1, n) if RND.random() < 0.15], int), n))
         price = {i: packing.SENTENCE for i in range(1, n) if stop[i - 1]} | dict.fromkeys(ends.tolist(), 0)
-        kept = set(ends.tolist())
-        sentence = np.flatnonzero(stop) + 1
-        kept |= set(sentence[np.diff(sentence // packing.SPACING, prepend=-1) > 0].tolist())
+        kept = set(ends.tolist()) | set((np.flatnonzero(stop) + 1).tolist())
         best = {0: 0}
         pad = lambda m: 0 if m & (m - 1) == 0 else 16 - m
         for i in sorted(kept):
@@ -263,15 +261,14 @@ def _stop(model, word):
     """log2 of the first language's probability that a word ends here."""
     letters, place, w = language_id._layout([word])
     value = np.full(len(letters), np.log2(language_id.UNKNOWN))
-    for k, (gram, p, contexts, g) in enumerate(model.orders, 1):
+    for k, tables in enumerate(model.orders, 1):
         end, h, context, _, _ = language_id._grams(letters, place, k)
         for e, a, c in zip(end, h, context):
-            i = np.searchsorted(gram, a)
-            j = np.searchsorted(contexts, c)
-            if i < len(gram) and gram[i] == a:
-                value[e] = p[i, 0]
-            elif j < len(contexts) and contexts[j] == c:
-                value[e] += g[j, 0]
+            known = [{(key, owner): x for j, key in enumerate(t[0].tolist()) for owner, x in zip(t[2][t[1][j] : t[1][j + 1]].tolist(), t[3][t[1][j] : t[1][j + 1]].tolist())} for t in tables]
+            if (int(a), 0) in known[0]:
+                value[e] = known[0][int(a), 0]
+            else:
+                value[e] += known[1].get((int(c), 0), 0.0)
     return value[-1]
 
 
