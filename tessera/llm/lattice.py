@@ -2,10 +2,11 @@
 
 A text is its words (lower case A-Z) and one end. A word is spelled by the pieces of an existing vocabulary: its lattice has
 an arc for every piece at every place, and every single byte, so each text has a probability. Piece probabilities start
-from the vocabulary's own order of scores and are re-estimated ``ROUNDS`` times over all distinct training words (expected
-counts of all segmentations, each word once, as each gives the same mass to be spelled); forward recursion in log space sums over segmentations. One more arc spans a whole word with its
-absolutely discounted share of the training tokens; the discounted mass is what the spelled arcs share, so a word's
-probability is the sum over all its paths, whether it was seen in training or not.
+from the vocabulary's own scores and are re-estimated ``ROUNDS`` times over all distinct training words (expected counts of
+all segmentations, each word once, as each gives the same mass to be spelled); forward recursion in log space sums over
+segmentations. One more arc spans a whole word with its absolutely discounted share of the training tokens; the discounted
+mass is what the spelled arcs share, so a word's probability is the sum over all its paths, whether it was seen in training
+or not. The discount is estimated from how many words occur once and twice.
 
 Counts cover every training text. The commonest words (at most ``HEAD``) travel to every task; the other words of a
 document are joined with the corpus counts, a row for each document and word, and summed for each document.
@@ -141,7 +142,8 @@ class Lattice:
 
 @lru_cache(2)
 def vocabulary(name: str = VOCABULARY) -> tuple[Lattice, np.ndarray]:
-    """The lattice of a vocabulary and its pieces' probabilities by the order of their scores."""
+    """The lattice of a vocabulary and its pieces' log probabilities by their scores. The scores are ranks (0 and down by
+    one), so weights fall with the rank as words' do in a language; a byte by itself has a tenth of the average weight."""
     import public_tokenizers
     import sentencepiece
 
@@ -237,12 +239,13 @@ def estimate(uses: np.ndarray) -> np.ndarray:
 class Model:
     """What each task needs: piece probabilities, totals, the commonest words with their counts."""
 
-    def __init__(self, uses: np.ndarray, tokens: int, kinds: int, ends: int, head: list[tuple[bytes, int]]):
+    def __init__(self, uses: np.ndarray, tokens: int, kinds: int, ends: int, head: list[tuple[bytes, int]], discount: float = DISCOUNT):
         self.logp = estimate(uses)
         words = kinds - (ends > 0)
         self.stop = words / (words + uses.sum()) if uses.sum() else 0.25
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
-        self.spelled = np.log(DISCOUNT * kinds / tokens) if tokens else np.log(0.5)
+        self.discount = discount
+        self.spelled = np.log(discount * kinds / tokens) if tokens else np.log(0.5)
         self.words = [w for w, _ in head]
         c = np.array([n for _, n in head], np.float64)
         self.base, self.score = self.base_of(c), self.score_of(self.words, c)
@@ -254,11 +257,11 @@ class Model:
         """log10 of the words' probabilities."""
         spelled = np.concatenate([vocabulary()[0].forward(words[a:b], self.logp, self.stop) for a, b in _runs(words)] or [np.zeros(0)]) + self.spelled
         with np.errstate(divide="ignore"):
-            whole = np.log(np.maximum(c - DISCOUNT, 0) / max(self.tokens, 1))
+            whole = np.log(np.maximum(c - self.discount, 0) / max(self.tokens, 1))
         return np.logaddexp(whole, spelled) / np.log(10)
 
     def end(self) -> tuple[float, float]:
-        return float(self.base_of(self.ends)), float(np.log10((self.ends - DISCOUNT) / self.tokens)) if self.ends else float(np.log10(0.5))
+        return float(self.base_of(self.ends)), float(np.log10((self.ends - self.discount) / self.tokens)) if self.ends else float(np.log10(0.5))
 
 
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -272,8 +275,10 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         uses, tokens, kinds = piece_counts(counts, logp)
         logp = estimate(uses)
     ends = sum(r["c"] for r in counts.where(F.length("word") == 0).collect())
+    few = counts.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    discount = min(0.95, max(0.1, few["once"] / (few["once"] + 2 * few["twice"]))) if few["once"] else DISCOUNT
     head = [(bytes(r["word"]), r["c"]) for r in commonest(counts).collect()]
-    sent = spark.sparkContext.broadcast(Model(uses, tokens, kinds, ends, head))
+    sent = spark.sparkContext.broadcast(Model(uses, tokens, kinds, ends, head, discount))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over each document's common words and its end, and a row for each of its other words."""

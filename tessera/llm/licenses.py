@@ -7,7 +7,9 @@ least ``least``. Parts of a template that stand apart, whatever lies between the
 in its order and each adds at least ``PIECE`` aligned words; coverage is then that of the parts aligned as one. A joined
 match holds at most one part that is a match by itself, so copies stay apart. Of matches that overlap, the one with the higher coverage stays, then the one with more words.
 
-Words are runs of ASCII letters, digits and bytes beyond ASCII, in lower case (A-Z). The whole text is searched.
+Words are runs of ASCII letters, digits and bytes beyond ASCII, in lower case (A-Z). The whole text is searched, for the
+notices and openings below and for the whole texts of licences in the folder ``templates`` beside this file. A template is
+aligned only where a text has half of its different rare words, which is counted for all templates at once.
 
 Defined results: a null or empty text has no match, nor has an empty template; equal matches resolve by template name;
 rows that repeat an id each give their matches.
@@ -18,6 +20,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,14 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
 }
+
+
+@lru_cache(1)
+def templates() -> dict[str, str]:
+    """The notices above, and the whole texts that come with this package (their files' names are the licences')."""
+    return TEMPLATES | {f"{p.stem}{'' if p.stem.endswith('notice') else '-text'}": p.read_text() for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
+
+
 #: Words too common to point to a template.
 COMMON = frozenset("a all an and any are as at be by for from in is it of on or see shall that the this to under use with without you your not may no can either".split())
 LEAST, PIECE = 0.8, 4
@@ -146,13 +158,30 @@ def _joined(hashes: np.ndarray, t: Template, own: list[int], found: list, least:
     return out
 
 
-def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, least: float) -> list[tuple[str, float, int, int, int]]:
+class Index:
+    """Which templates a rare word belongs to."""
+
+    def __init__(self, templates: list[Template]):
+        pairs = sorted((h, k) for k, t in enumerate(templates) for h in t.rare)
+        key, self.owner = np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
+        self.rare, first = np.unique(key, return_index=True)
+        self.first = np.append(first, len(key))
+        self.templates, self.least = templates, np.array([0.5 * len(t.rare) for t in templates])
+
+    def able(self, found: np.ndarray) -> list[Template]:
+        """The templates of whose different rare words at least half are among found (distinct, all rare)."""
+        at = np.searchsorted(self.rare, found)
+        begin, times = self.first[at], self.first[at + 1] - self.first[at]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+        return [self.templates[k] for k in np.flatnonzero(np.bincount(self.owner[place], minlength=len(self.templates)) >= self.least)]
+
+
+def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, aligned words, first word, word after the last) in one text."""
-    hits = np.flatnonzero(np.isin(hashes, rare))
-    if not len(hits):
-        return []
-    found, words = [], hashes[hits].tolist()
-    for t in templates:
+    hits = np.flatnonzero(np.isin(hashes, index.rare))
+    able = index.able(np.unique(hashes[hits])) if len(hits) else []
+    found, words = [], hashes[hits].tolist() if able else []
+    for t in able:
         own = [int(hits[i]) for i, h in enumerate(words) if h in t.rare]
         n, before = len(t.hashes), len(found)
         at = floor = 0  # floor: the end of the match before
@@ -192,20 +221,21 @@ def matches(hashes: np.ndarray, templates: list[Template], rare: np.ndarray, lea
     return sorted(kept, key=lambda m: m[3])
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Matches in the rows of docs (doc_id, text): doc_id, license, coverage, aligned, start, end (words of the text)."""
+def license_matches(docs: DataFrame, known: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """Matches in the rows of docs (doc_id, text): doc_id, license, coverage, aligned, start, end (words of the text). known:
+    the templates by name, else all of this package's."""
+    named = sorted((templates() if known is None else known).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [t for t in (Template(*x) for x in sorted(templates.items())) if t.hashes]
-        rare = np.array(sorted(set().union(*(t.rare for t in compiled))) if compiled else [], np.uint64)
+        index = Index([t for t in (Template(*x) for x in named) if t.hashes])
         for batch in batches:
             ids, rows = column(batch, "doc_id").to_pylist(), []
             for a, b, data, bounds in texts(column(batch, "text")):
                 w = Words(_LOWER[data], bounds, _APART)
                 h = w.hashes()
-                some = np.unique(np.searchsorted(w.first, np.flatnonzero(np.isin(h, rare)), side="right") - 1)
+                some = np.unique(np.searchsorted(w.first, np.flatnonzero(np.isin(h, index.rare)), side="right") - 1)
                 for i in some.tolist():
-                    rows += [(ids[a + i], *m) for m in matches(h[w.first[i] : w.first[i + 1]], compiled, rare, least)]
+                    rows += [(ids[a + i], *m) for m in matches(h[w.first[i] : w.first[i + 1]], index, least)]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "license", "coverage", "aligned", "start", "end"])
 

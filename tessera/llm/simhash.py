@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import column, cut_lineage, mapped, meet, scan, texts
 from tessera.llm.components import components
+from tessera.llm.minhash import near_copies
 
 BITS, BLOCKS, DISTANCE, SEED, MOST = 64, 4, 2, 42, 64
 
@@ -88,6 +89,15 @@ def near_components(docs: DataFrame, shingle: int = 3, most: int = MOST) -> Data
     return meet(prints, labels, ["fp"], ["component_id"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def near_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The operator at a resemblance of word shingles instead of a number of bits: doc_id, component_id.
+
+    Two texts of five-word resemblance 0.8 differ in about ten of 64 bits, and pigeonholes for ten bits would be blocks of
+    five bits each, which join everything with everything. So the blocks are of min-wise hashes here (``minhash``), and
+    what shares a block is verified by its shingles in full; the README has the figures for SimHash at each radius."""
+    return near_copies(docs, least, shingle)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(scan(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

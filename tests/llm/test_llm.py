@@ -238,6 +238,25 @@ def test_lattice(docs, empty):
     got = lattice.scored(docs).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got) and lattice.scored(empty).count() == 0
+    # The score of each document, from plain sums over segmentations.
+    seen = [w.encode() for w in count if w != "\n"]
+    lp = logp
+    for _ in range(lattice.ROUNDS):
+        uses = lat.expected(seen, lp)
+        lp = lattice.estimate(uses)
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d, stop = min(0.95, max(0.1, once / (once + 2 * twice))), len(seen) / (len(seen) + uses.sum())
+    known = {}
+
+    def word(w):
+        if w not in known:
+            spelled = 0.0 if w == "\n" else math.exp(brute(w.encode(), lp + math.log(1 - stop))) * stop / (1 - stop)
+            known[w] = math.log10(max(count[w] - d, 0) / n + (d * v / n * spelled if w != "\n" else 0.0))
+        return known[w]
+
+    short = [r for r in rows if len(r.text or "") < 2000]
+    want = Counter((r.doc_id, round(sum(map(word, low(r.text))), 3)) for r in short)
+    assert Counter((r.doc_id, round(r.score, 3)) for r in got if r.n_tokens < 700) >= want and len(short) > 80
 
 
 def test_language_id(spark, docs, empty):
