@@ -162,7 +162,8 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str],
     Rows are dealt by their keys, but for those of hot keys: these stay spread, and meet their group's row where they are.
     The hot keys are at most four for each shuffle partition, the commonest first, so that what is broadcast is bounded and
     any other key has less than a quarter of a partition's share of the rows. Null keys meet nothing."""
-    packed = groups.select(*keys, "n", F.struct(*values).alias("__cold"))
+    # n goes along with the values: both uses of groups then ask for the same columns, and read one exchange.
+    packed = groups.select(*keys, "n", F.struct(*values, F.col("n").alias("__n")).alias("__cold"))
     hot = packed.where(F.col("n") > HOT).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys, F.col("__cold").alias("__hot"))
     spread = F.when(F.col("__hot").isNotNull() | F.greatest(*(F.col(k).isNull() for k in [*keys, keys[0]])), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread)

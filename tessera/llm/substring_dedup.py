@@ -53,7 +53,7 @@ def _anchors(length: int):
                 at = np.arange(w.first[0], w.first[-1]) - np.repeat(w.first[:-1], n)
                 room = np.repeat(n, n) - at
                 keep = np.flatnonzero(lut[at % PERIOD] & (room >= width) & (np.repeat(n, n) >= length))
-                h = windows(w.hashes(), width)
+                h = windows(w.hashes(), width) >> np.uint64(16)  # 48 bits to move: what meets by chance is told apart below
                 owner = np.repeat(np.arange(a, b), n)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[owner[keep]]), pa.array(at[keep].astype(np.int32))], ["h", "doc_id", "pos"])
 
