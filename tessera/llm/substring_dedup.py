@@ -7,7 +7,8 @@ them gets a BLAKE2 digest (128 bits) of its words themselves, and the smallest d
 greatest documents tell which side its windows are on: those of documents below the greatest are offered, those of
 documents above the smallest are asked for. Nothing pairs documents:
 each step is a grouped minimum or a join with one row per hash, so a passage that a third of all documents share costs a
-row for each of its occurrences, and these rows stay spread over all tasks (``meet``).
+row for each of its occurrences. Anchors that very many documents share are told beforehand, by counts within batches (at
+most four for each shuffle partition): these anchors are taken as shared without a join, so that no task gets them all.
 
 Defined results: null texts count as empty; documents of fewer than ``length`` words lose nothing; rows that repeat one
 id count as one document (they never remove one another, each row gets its own result); rows whose id is null neither
@@ -25,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm.common import Words, column, mapped, meet, normalised, partitions, scan, texts, windows
 
 PERIOD = 31
 #: A perfect difference set modulo 31 (fixed values): every offset is a difference of two of its members.
 COVER = (1, 5, 11, 24, 25, 27)
+#: An anchor that fewer documents of a batch share is not counted towards the hot ones.
+OFTEN = 8
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
 
@@ -37,25 +41,53 @@ def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _anchors(length: int):
+def _cover(length: int, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the windows at cover positions, their documents and positions, for some texts of a batch at a time."""
     width = length - PERIOD + 1
     lut = np.zeros(PERIOD, bool)
     lut[list(COVER)] = True
+    ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+    for a, b, data, bounds in texts(column(batch, "text")):
+        w = Words(data, bounds)
+        n = np.diff(w.first)
+        if not len(n) or n.max() < length:
+            continue
+        at = np.arange(w.first[0], w.first[-1]) - np.repeat(w.first[:-1], n)
+        room = np.repeat(n, n) - at
+        keep = np.flatnonzero(lut[at % PERIOD] & (room >= width) & (np.repeat(n, n) >= length))
+        h = windows(w.hashes(), width) >> np.uint64(16)  # 48 bits to move: what meets by chance is told apart below
+        yield h[keep].view(np.int64), ids[np.repeat(np.arange(a, b), n)[keep]], at[keep].astype(np.int32)
+
+
+def _heavy(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = list(_cover(length, batch))
+            h, owner = _flat([p[0] for p in parts], np.int64), _flat([p[1] for p in parts], np.int64)
+            by = np.lexsort((owner, h))
+            h, owner = h[by], owner[by]
+            h = h[np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))] if len(h) else h
+            kinds, times = np.unique(h, return_counts=True)
+            some = times >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[some]), pa.array(times[some].astype(np.int64))], ["h", "n"])
+
+    return run
+
+
+def _hot(rows: DataFrame, length: int) -> np.ndarray:
+    """Sorted hashes of anchors that very many documents share; which ones are named here changes no result."""
+    counted = mapped(rows, _heavy(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > common.HOT)
+    return np.array(sorted(r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(4 * partitions(rows.sparkSession)).collect()), np.int64)
+
+
+def _anchors(length: int, hot: np.ndarray, wanted: bool):
+    """Anchors (h, doc_id, pos): the hot ones if wanted, else the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            for a, b, data, bounds in texts(column(batch, "text")):
-                w = Words(data, bounds)
-                n = np.diff(w.first)
-                if not len(n) or n.max() < length:
-                    continue
-                at = np.arange(w.first[0], w.first[-1]) - np.repeat(w.first[:-1], n)
-                room = np.repeat(n, n) - at
-                keep = np.flatnonzero(lut[at % PERIOD] & (room >= width) & (np.repeat(n, n) >= length))
-                h = windows(w.hashes(), width) >> np.uint64(16)  # 48 bits to move: what meets by chance is told apart below
-                owner = np.repeat(np.arange(a, b), n)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[owner[keep]]), pa.array(at[keep].astype(np.int32))], ["h", "doc_id", "pos"])
+            for h, owner, at in _cover(length, batch):
+                keep = np.flatnonzero(np.isin(h, hot) == wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(owner[keep]), pa.array(at[keep])], ["h", "doc_id", "pos"])
 
     return run
 
@@ -143,15 +175,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     # The whole texts move once: all three steps read this exchange, and so ask for the same columns.
     moved = named.withColumn("th", F.xxhash64("text")).repartition(n, "doc_id")
     marked = moved.join(_copies(named), "doc_id", "left").withColumn("whole", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("ths")
-    anchors = mapped(marked.where("NOT whole").select("doc_id", "text", *others), _anchors(length), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    met = meet(anchors, shared, ["h"], ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") < F.col("b"), F.col("pos"))).alias("offer"), F.collect_list(F.when(F.col("doc_id") > F.col("a"), F.col("pos"))).alias("ask"))
+    hot, fresh = _hot(named.select("doc_id", "text"), length), marked.where("NOT whole").select("doc_id", "text", *others)
+    anchors = mapped(fresh, _anchors(length, hot, False), "h long, doc_id long, pos int")
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    sides = anchors.join(shared, "h").select("doc_id", F.when(F.col("doc_id") < F.col("b"), F.col("pos")).alias("offer"), F.when(F.col("doc_id") > F.col("a"), F.col("pos")).alias("ask"))
+    if len(hot):
+        sides = sides.unionByName(mapped(fresh, _anchors(length, hot, True), "h long, doc_id long, pos int").select("doc_id", F.col("pos").alias("offer"), F.col("pos").alias("ask")))
+    met = sides.groupBy("doc_id").agg(F.collect_list("offer").alias("offer"), F.collect_list("ask").alias("ask"))
     placed = marked.where("NOT whole").join(met, "doc_id")
     schema = "hi long, lo long, doc_id long, th long, pos int"
     ask = mapped(placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others), _full_windows(length, "ask"), schema)
     offer = mapped(placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others), _full_windows(length, "offer"), schema)
-    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n"))
-    cuts = meet(ask, earliest, ["hi", "lo"], ["a"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
+    # The key that is always 0 has both sides exchanged for the join itself: Spark then splits partitions with hot passages.
+    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")).withColumn("same", F.lit(0))
+    cuts = ask.withColumn("same", F.lit(0)).join(earliest, ["hi", "lo", "same"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
     inputs = ["doc_id", "text", "th", "whole", "at", *others]
     joined = marked.join(cuts, "doc_id", "left").select(*inputs)
     unnamed = rows.where("doc_id IS NULL").withColumns({"th": F.lit(0).cast("long"), "whole": F.lit(False), "at": F.lit(None).cast(cuts.schema["at"].dataType)}).select(*inputs)

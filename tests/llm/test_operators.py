@@ -50,7 +50,9 @@ def folder(spark, rows, tmp_path):
     return str(tmp_path)
 
 
-def test_op1_query(spark, rows, folder, hot):
+def test_op1_query(spark, rows, folder, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "OFTEN", min(hot, 8))
+    assert bool(len(substring_dedup._hot(spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string"), 50))) == (hot == 1)
     first = {}
     for i, t in rows:
         w = SPLIT(t or "")
