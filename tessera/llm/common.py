@@ -166,8 +166,9 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str],
     packed = groups.select(*keys, "n", F.struct(*values, F.col("n").alias("__n")).alias("__cold"))
     hot = packed.where(F.col("n") > HOT).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys, F.col("__cold").alias("__hot"))
     spread = F.when(F.col("__hot").isNotNull() | F.greatest(*(F.col(k).isNull() for k in [*keys, keys[0]])), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30))).otherwise(F.lit(0).cast("long"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("long")  # 0, but no constant that Spark would take out of the join
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread)
-    joined = marked.join(packed.select(*keys, "__cold", F.lit(0).cast("long").alias("__salt")), [*keys, "__salt"], "left").withColumn("__met", F.coalesce("__hot", "__cold"))
+    joined = marked.join(packed.select(*keys, "__cold", zero.alias("__salt")), [*keys, "__salt"], "left").withColumn("__met", F.coalesce("__hot", "__cold"))
     if how == "inner":
         joined = joined.where("__met IS NOT NULL")
     return joined.select(*rows.columns, *(F.col(f"__met.{v}").alias(v) for v in values))

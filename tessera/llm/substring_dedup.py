@@ -187,8 +187,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     ask = mapped(placed.where(F.size("ask") > 0).select("doc_id", "th", "text", "ask", *others), _full_windows(length, "ask"), schema)
     offer = mapped(placed.where(F.size("offer") > 0).select("doc_id", "th", "text", "offer", *others), _full_windows(length, "offer"), schema)
     # The key that is always 0 has both sides exchanged for the join itself: Spark then splits partitions with hot passages.
-    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")).withColumn("same", F.lit(0))
-    cuts = ask.withColumn("same", F.lit(0)).join(earliest, ["hi", "lo", "same"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
+    earliest = offer.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")).withColumn("same", F.pmod("hi", F.lit(1)))
+    cuts = ask.withColumn("same", F.pmod("hi", F.lit(1))).join(earliest, ["hi", "lo", "same"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("at"))
     inputs = ["doc_id", "text", "th", "whole", "at", *others]
     joined = marked.join(cuts, "doc_id", "left").select(*inputs)
     unnamed = rows.where("doc_id IS NULL").withColumns({"th": F.lit(0).cast("long"), "whole": F.lit(False), "at": F.lit(None).cast(cuts.schema["at"].dataType)}).select(*inputs)
