@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -177,8 +177,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     marked = moved.join(_copies(named), "doc_id", "left").withColumn("whole", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("ths")
     hot, fresh = _hot(named.select("doc_id", "text"), length), marked.where("NOT whole").select("doc_id", "text", *others)
     anchors = mapped(fresh, _anchors(length, hot, False), "h long, doc_id long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    sides = anchors.join(shared, "h").select("doc_id", F.when(F.col("doc_id") < F.col("b"), F.col("pos")).alias("offer"), F.when(F.col("doc_id") > F.col("a"), F.col("pos")).alias("ask"))
+    # Without the hot ones, no anchor has many rows: each partition can look at those of one hash together.
+    same = Window.partitionBy("h")
+    shared = anchors.select("doc_id", "pos", F.min("doc_id").over(same).alias("a"), F.max("doc_id").over(same).alias("b")).where("a < b")
+    sides = shared.select("doc_id", F.when(F.col("doc_id") < F.col("b"), F.col("pos")).alias("offer"), F.when(F.col("doc_id") > F.col("a"), F.col("pos")).alias("ask"))
     if len(hot):
         sides = sides.unionByName(mapped(fresh, _anchors(length, hot, True), "h long, doc_id long, pos int").select("doc_id", F.col("pos").alias("offer"), F.col("pos").alias("ask")))
     met = sides.groupBy("doc_id").agg(F.collect_list("offer").alias("offer"), F.collect_list("ask").alias("ask"))
