@@ -16,15 +16,18 @@ class Conflict(ValueError):
     """A duplicate id or a value that a unique index has already."""
 
 
-def insert(df: DataFrame, more: DataFrame, key: str = "_id", unique: tuple[str, ...] = ()) -> DataFrame:
+def insert(df: DataFrame, more: DataFrame, key: str = "_id", unique: tuple = ()) -> DataFrame:
     """df and more; ids are given where missing. Duplicate ids and unique values are errors."""
     if key not in more.columns:
         more = more.withColumn(key, F.expr("uuid()"))
-    for name in {key, *unique} & {*df.columns} & {*more.columns}:
-        known = df.select(name).join(more.select(name), name, "left_semi")
-        twice = more.where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").select(name)
+    for names in [(key,), *((n,) if isinstance(n, str) else tuple(n) for n in unique)]:
+        if not {*names} <= {*df.columns} & {*more.columns}:
+            continue
+        there = more.dropna(subset=list(names))
+        known = df.select(*names).join(there.select(*names), list(names), "left_semi")
+        twice = there.groupBy(*names).count().where("count > 1").select(*names)
         if not known.unionByName(twice).isEmpty():
-            raise Conflict(f"duplicate {name}")
+            raise Conflict(f"duplicate {', '.join(names)}")
     return df.unionByName(more, allowMissingColumns=True)
 
 
@@ -62,6 +65,15 @@ def find_and_modify(df: DataFrame, where: Any, sets: dict[str, Any] | None = Non
     return first, rest if sets is None else rest.unionByName(update(first, sets), allowMissingColumns=True)
 
 
+def replaced(df: DataFrame, key: str, value: Any, row: DataFrame) -> DataFrame:
+    """df with the row of a key (if there is one) replaced by another; fields that this lacks are missing."""
+    there = df.where(F.col(key) == value)
+    new = row.join(there.select(F.lit(1).alias("__there")).limit(1), F.lit(True), "left_semi")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    new = new.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in new.columns))
+    return df.where(~F.coalesce(F.col(key) == value, F.lit(False))).unionByName(new, allowMissingColumns=True)
+
+
 def add_column(df: DataFrame, name: str, default: Any = None) -> DataFrame:
     value = F.lit(default) if default is not None else F.lit(None).cast("string")
     return df.withColumn(name, value if name not in df.columns else F.coalesce(df[name], value))
@@ -95,8 +107,10 @@ def replay(base: DataFrame, log: DataFrame, until: Any = None, lsn: int | None =
     return latest(both, ["collection", "doc_id"], "sequence", F.col("op_type") == 2).select("collection", "doc_id", "payload")
 
 
-def apply_increment(base: DataFrame, changed: DataFrame, deleted: DataFrame, keys: tuple[str, ...] = ("collection", "doc_id")) -> DataFrame:
-    """Deleted ids go first, then changed rows replace or join the others."""
+def apply_increment(base: DataFrame, changed: DataFrame, deleted: DataFrame, keys: tuple[str, ...] = ("collection", "doc_id"), base_id: str | None = None, made_for: str | None = None) -> DataFrame:
+    """Deleted ids go first, then changed rows replace or join the others. An increment made for another base is an error."""
+    if base_id != made_for:
+        raise Conflict(f"the increment is for {made_for}, not {base_id}")
     left = base.join(deleted.select(*keys), list(keys), "left_anti").join(changed.select(*keys), list(keys), "left_anti")
     return left.select(*base.columns).unionByName(changed.select(*base.columns))
 
@@ -137,3 +151,38 @@ def compare_versions(a: Column, b: Column) -> Column:
     pairs = F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))
     more, less = F.exists(pairs, lambda d: d > 0), F.exists(pairs, lambda d: d < 0)
     return F.when(more & less, "concurrent").when(more, "after").when(less, "before").otherwise("equal")
+
+
+# Deltas between regions: who changed which field when, to be applied elsewhere in any order.
+
+
+def deltas(before: DataFrame, after: DataFrame, key: str, region: str, ts: Column) -> DataFrame:
+    """(key, field, value, ts, region) of the fields that differ; of rows that are gone, a row with the field null."""
+    names = [c for c in after.columns if c != key]
+    old = before.select(key, F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in names)).alias("b"))
+    new = after.select(key, F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in names)).alias("a"))
+    both = old.join(new, key, "full")
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"a.{c}").alias("value"), (F.col("a").isNotNull() & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias("changed")) for c in names))
+    gone = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.col("a").isNull().alias("changed")))
+    rows = both.select(key, F.explode(F.concat(pairs, gone)).alias("d")).where("d.changed")
+    return rows.select(F.col(key).alias("key"), "d.field", "d.value", ts.alias("ts"), F.lit(region).alias("region"))
+
+
+def apply_deltas(state: DataFrame, more: DataFrame) -> DataFrame:
+    """Field states (key, field, value, ts, region) with deltas merged in: the last writer of each field wins, and a removal
+    takes all fields written before it."""
+    merged = lww_state(state.unionByName(more), ["key", "field"])
+    gone = merged.where("field IS NULL").select("key", F.struct("ts", "region").alias("gone"))
+    kept = merged.where("field IS NOT NULL").join(gone, "key", "left").where(F.col("gone").isNull() | (F.struct("ts", "region") > F.col("gone"))).drop("gone")
+    return kept.unionByName(merged.where("field IS NULL"))
+
+
+def lww_state(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last write of each key, by (ts, region), with both."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("value", "ts", "region"), F.struct("ts", "region")).alias("w"))
+    return last.select(*keys, "w.*")
+
+
+def drained(log: DataFrame, region: str, since: Column) -> DataFrame:
+    """What a region has to send: its own deltas after a time."""
+    return log.where((F.col("region") == region) & (F.col("ts") > since))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +13,65 @@ from tessera.plans.pipeline import sort
 from tessera.plans.predicates import compile_predicate, resolve
 
 
-def join(left: DataFrame, right: DataFrame, j: Join) -> DataFrame:
-    """Equi-join on one field of each side; null keys never meet. The right side's fields come as {table}_{field}, and
-    under their own name where the left has none of that name."""
+class Scope:
+    """What the names of a statement stand for: tables by name or alias, with the column that each of their fields has in
+    the joined rows. A qualifier that names no table and no column is an error where tables have aliases or are joined."""
+
+    def __init__(self, df: DataFrame, *names: str, strict: bool = False):
+        self.tables: dict[str, dict[str, str]] = {n: {c: c for c in df.columns} for n in names}
+        self.left, self.strict = set(df.columns), strict
+
+    def add(self, alias: str, fields: dict[str, str]) -> None:
+        if alias in self.tables:
+            raise KeyError(f"two tables are named {alias}")
+        self.tables[alias] = fields
+
+    def bound(self, name: str, df: DataFrame) -> str:
+        """The path in the joined rows that a name stands for."""
+        head, _, rest = name.partition(".")
+        if not rest or name in df.columns:
+            return name
+        if head in self.tables:
+            field, dot, more = rest.partition(".")
+            column = self.tables[head].get(field)
+            return f"{column}{dot}{more}" if column else rest if rest in ("id", "_id") else f"{head}.{rest}"
+        if self.strict and head not in df.columns:
+            raise KeyError(f"{head} names no table or field")
+        return name
+
+    def of_left(self, name: str) -> bool:
+        """Whether a name needs none of the joined tables."""
+        head, _, rest = name.partition(".")
+        own = next(iter(self.tables))
+        first = [n for n in self.tables if self.tables[n] is self.tables[own] or n == own]
+        return (head in first if rest and head in self.tables else head in self.left or head in ("id", "_id"))
+
+
+def rewritten(p: Any, name) -> Any:
+    """The predicate with each field's name put through a function."""
+    if isinstance(p, (All, AnyOf)):
+        return type(p)(tuple(rewritten(x, name) for x in p.parts))
+    if isinstance(p, Not):
+        return Not(rewritten(p.part, name))
+    return Leaf(p.op, name(p.name), p.value) if isinstance(p, Leaf) else p
+
+
+def fields(p: Any) -> set[str]:
+    if isinstance(p, (All, AnyOf)):
+        return set().union(*(fields(x) for x in p.parts)) if p.parts else set()
+    if isinstance(p, Not):
+        return fields(p.part)
+    return {p.name} if isinstance(p, Leaf) else set()
+
+
+def conjuncts(p: Any) -> list:
+    return [] if p is None else [y for x in p.parts for y in conjuncts(x)] if isinstance(p, All) else [p]
+
+
+def join(left: DataFrame, right: DataFrame, j: Join) -> tuple[DataFrame, dict[str, str]]:
+    """Equi-join on one field of each side, and which column each of the right side's fields has then; null keys never meet.
+    The right side's fields come as {table}_{field} (by its alias where that is taken), and under their own name where the
+    left has none of that name."""
     a, kind_a = resolve(left, j.left)
     b, kind_b = resolve(right, j.right)
     if kind_a is None or kind_b is None:
@@ -22,21 +80,16 @@ def join(left: DataFrame, right: DataFrame, j: Join) -> DataFrame:
         condition = a == b
     else:
         condition = a.cast("string") == b.cast("string")
-    taken = set(left.columns)
-    extra = [right[f"`{c}`"].alias(f"{j.table}_{c}") for c in right.columns if f"{j.table}_{c}" not in taken]
+    taken, named, extra = set(left.columns), {}, []
+    for c in right.columns:
+        new = f"{j.table}_{c}"
+        while new in taken:
+            new = f"{j.alias or j.table}_{c}" if new == f"{j.table}_{c}" and j.alias != j.table else f"{new}_"
+        named[c] = new
+        extra.append(right[f"`{c}`"].alias(new))
+        taken.add(new)
     extra += [right[f"`{c}`"].alias(c) for c in right.columns if c not in taken]
-    return left.join(right, condition, "left" if j.how == "left" else "inner").select(*(left[f"`{c}`"] for c in left.columns), *extra)
-
-
-def without_prefix(p, names: set[str]):
-    """The predicate with table qualifiers taken off its fields."""
-    if isinstance(p, (All, AnyOf)):
-        return type(p)(tuple(without_prefix(x, names) for x in p.parts))
-    if isinstance(p, Not):
-        return Not(without_prefix(p.part, names))
-    if isinstance(p, Leaf) and "." in p.name and p.name.split(".")[0] in names:
-        return Leaf(p.op, p.name.split(".", 1)[1], p.value)
-    return p
+    return left.join(right, condition, "left" if j.how == "left" else "inner").select(*(left[f"`{c}`"] for c in left.columns), *extra), named
 
 
 def distinct(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +97,24 @@ def distinct(df: DataFrame, name: str) -> DataFrame:
     return df.select(c.alias(name.rsplit(".", 1)[-1])).where(F.col(name.rsplit(".", 1)[-1]).isNotNull()).distinct()
 
 
-def filtered(df: DataFrame, where, names: set[str]) -> DataFrame:
-    return df if where is None else df.where(compile_predicate(df, without_prefix(where, names)))
+def known(df: DataFrame, name: str) -> None:
+    """An error unless the rows have the field; a path may lead to nothing in some of them."""
+    if name not in df.columns and name.split(".")[0] not in df.columns and resolve(df, name)[1] is None:
+        raise KeyError(f"no field {name}")
+
+
+def project(df: DataFrame, names: list[str]) -> DataFrame:
+    """These columns; one that isn't there is an error."""
+    for n in names:
+        if n not in df.columns:
+            raise KeyError(f"no column {n}")
+    return df.select(*(df[f"`{n}`"] for n in names))
 
 
-def finished(df: DataFrame, order, skip: int, limit: int | None, columns: list[str] | None) -> DataFrame:
+def finished(df: DataFrame, order, skip: int, limit: int | None, columns: list[tuple[str, str]] | None) -> DataFrame:
+    """columns: (path, name) of each."""
+    for name, *_ in [*order, *(columns or [])]:
+        known(df, name)
     if order:
         df = sort(df, order)
     if skip:
@@ -56,5 +122,5 @@ def finished(df: DataFrame, order, skip: int, limit: int | None, columns: list[s
     if limit is not None:
         df = df.limit(limit)
     if columns:
-        df = df.select(*(resolve(df, c if c in df.columns or "." not in c else c)[0].alias(c.rsplit(".", 1)[-1]) for c in columns))
+        df = df.select(*(resolve(df, path)[0].alias(name) for path, name in columns))
     return df

@@ -41,6 +41,7 @@ class Join:
     left: str
     right: str
     how: str = "inner"
+    alias: str | None = None
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ class Traverse:
 class Find:
     collection: str
     where: Any = None
-    columns: list[str] | None = None
+    columns: list[Any] | None = None  # fields, or (field, name)
     order: list[tuple[str, bool]] = field(default_factory=list)  # (field, ascending)
     limit: int | None = None
     skip: int = 0
@@ -151,6 +152,22 @@ class Analyze:
     collection: str
 
 
+@dataclass(frozen=True)
+class Show:
+    """What the catalog has: tables, indexes, databases, or the columns of a collection."""
+
+    what: str
+    collection: str | None = None
+
+
+@dataclass(frozen=True)
+class Session:
+    """A function of the session, such as version()."""
+
+    name: str
+    alias: str | None = None
+
+
 @dataclass
 class Acknowledge:
     """Session settings and transaction words, which change nothing here."""

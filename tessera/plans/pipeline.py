@@ -30,8 +30,8 @@ def average(x: Column) -> Column:
     return F.coalesce(F.round(F.avg(x) * 100) / 100, F.lit(0.0))
 
 
-def accumulator(df: DataFrame, op: str, ref: Any, order: Column) -> Column:
-    """order: what the stages before sorted by; $push, $first and $last follow it."""
+def accumulator(df: DataFrame, op: str, ref: Any, keys: list[tuple[str, int]]) -> Column:
+    """keys: what the stages before sorted by; $push, $first and $last follow it."""
     if op == "$count" or op == "$sum" and ref == 1:
         return F.count(F.lit(1))
     if op == "$sum":
@@ -42,32 +42,49 @@ def accumulator(df: DataFrame, op: str, ref: Any, order: Column) -> Column:
         return F.min(_number(df, ref))
     if op == "$max":
         return F.max(_number(df, ref))
-    if op == "$first":
-        return F.min_by(_field(df, ref), order)
-    if op == "$last":
-        return F.max_by(_field(df, ref), order)
-    if op == "$push":
-        pair = F.struct(order.alias("k"), _field(df, ref).alias("v"))
-        return F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["v"])
-    raise ParseError(f"unknown accumulator {op}")
-
-
-def _key(df: DataFrame, keys: list[tuple[str, int]]) -> Column:
-    """The order of the last $sort as one comparable value; without one, all columns that can be compared."""
+    if op not in ("$first", "$last", "$push"):
+        raise ParseError(f"unknown accumulator {op}")
+    order, ways = _key(df, keys)
+    if len(set(ways)) == 1:  # one direction: the least or greatest key decides
+        up = ways[0] > 0
+        if op != "$push":
+            return (F.min_by if up == (op == "$first") else F.max_by)(_field(df, ref), order)
+        pairs = F.array_sort(F.collect_list(F.struct(order.alias("k"), _field(df, ref).alias("v"))))
+        return F.transform(pairs if up else F.reverse(pairs), lambda x: x["v"])
+    pairs = F.array_sort(F.collect_list(F.struct(order.alias("k"), _field(df, ref).alias("v"))), lambda x, y: _compared(x["k"], y["k"], ways))
+    values = F.transform(pairs, lambda x: x["v"])
+    return values if op == "$push" else F.get(values, F.lit(0)) if op == "$first" else F.element_at(values, -1)
+
+
+def _compared(x: Column, y: Column, ways: list[int]) -> Column:
+    """-1, 0 or 1 for keys of several parts, each in its direction; missing parts are lowest."""
+    out = F.lit(0)
+    for i in reversed(range(len(ways))):
+        a, b = x[f"k{i}"], y[f"k{i}"]
+        less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+        more = F.coalesce(a > b, a.isNotNull() & b.isNull())
+        out = F.when(less, F.lit(-ways[i])).when(more, F.lit(ways[i])).otherwise(out)
+    return out
+
+
+def _key(df: DataFrame, keys: list[tuple[str, int]]) -> tuple[Column, list[int]]:
+    """The order of the last $sort as one comparable value, with the direction of each part (numbers and times are turned
+    round, so that most orders have one direction); without a sort, all columns that can be compared."""
     if keys:
-        parts = []
-        for name, way in keys:
+        parts, ways = [], []
+        same = len({w > 0 for _, w in keys}) == 1
+        for i, (name, way) in enumerate(keys):
             c, kind = resolve(df, name)
-            if way < 0 and isinstance(kind, T.NumericType):
-                c = -c
-            elif way < 0 and isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-                c = -F.unix_micros(c.cast("timestamp"))
-            elif way < 0:
-                raise ParseError(f"$push, $first and $last can't follow a descending sort by {name}")
-            parts.append(c)
-        return F.struct(*parts)
+            way = 1 if way >= 0 else -1
+            if way < 0 and not same and isinstance(kind, T.NumericType):
+                c, way = -c, 1
+            elif way < 0 and not same and isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+                c, way = -F.unix_micros(c.cast("timestamp")), 1
+            parts.append(c.alias(f"k{i}"))
+            ways.append(way)
+        return F.struct(*parts), ways
     plain = [c for c, t in zip(df.columns, df.schema, strict=True) if not isinstance(t.dataType, (T.MapType, T.VariantType))]
-    return F.struct(*(df[f"`{c}`"] for c in (["_id"] if "_id" in plain else plain)))
+    return F.struct(*(df[f"`{c}`"] for c in (["_id"] if "_id" in plain else plain))), [1]
 
 
 def run_pipeline(df: DataFrame, stages: list[dict], tables: Callable[[str], DataFrame] | None = None) -> DataFrame:
@@ -81,8 +98,7 @@ def run_pipeline(df: DataFrame, stages: list[dict], tables: Callable[[str], Data
             df = df.where(compile_predicate(df, json_filter(spec)))
         elif op == "$group":
             ref = spec.get("_id")
-            order = _key(df, keys)
-            aggs = [accumulator(df, *next(iter(a.items())), order).alias(name) for name, a in spec.items() if name != "_id"] or [F.count(F.lit(1)).alias("__n")]
+            aggs = [accumulator(df, *next(iter(a.items())), keys).alias(name) for name, a in spec.items() if name != "_id"] or [F.count(F.lit(1)).alias("__n")]
             if isinstance(ref, dict):
                 group = F.struct(*(_field(df, r).alias(n) for n, r in ref.items()))
             else:
