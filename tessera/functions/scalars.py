@@ -25,8 +25,7 @@ sudah supaya tak telah tentang tidak untuk yang
 def tokens(text: Column) -> Column:
     """Terms of a text: runs of letters and digits in lower case, longer than a byte, no stop words."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(STOP_WORDS))  # a set: one lookup a word
 
 
 def hash_tag(key: Column) -> Column:

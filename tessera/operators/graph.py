@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df written to the folder that spark.checkpoint.dir names. On a single machine without one, a temporary folder; on a
+    cluster its machines would not share that, so there it is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -62,6 +67,9 @@ class Graph:
     def edges_of(self, vertex: str, direction: str = "out", relation: str | None = None) -> DataFrame:
         return self.along(direction, relation).where(F.col("u") == vertex)
 
+    def by_property(self, name: str, value) -> DataFrame:
+        return self.vertices.where(F.col(name) == value)
+
     def by_label(self, label: str) -> DataFrame:
         return self.vertices.where(F.col("label") == label)
 
@@ -78,7 +86,8 @@ class Graph:
         ends the search before the round after which more have been reached."""
         if isinstance(starts, str):
             starts = self.vertices.where(F.col("id") == starts).select("id")
-        steps = self.along(direction, relation)
+        steps = _cut(self.along(direction, relation))
+        total = 0
         seen = _cut(starts.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast("string")))
         front = seen
         for d in range(1, depth + 1):
@@ -88,36 +97,36 @@ class Graph:
             if not n:
                 break
             seen = seen.unionByName(front)
-            if budget is not None and seen.count() > budget:
+            total += n
+            if budget is not None and total >= budget:
                 break
         return seen
 
     def k_hop(self, start: str, k: int, direction: str = "out") -> DataFrame:
         return self.bfs(start, k, direction=direction).where("depth > 0").select("id").distinct()
 
-    def shortest_path(self, start: str, goal: str, most: int = 50) -> DataFrame:
-        """(path, cost): the vertices of a path of fewest edges, the least such path in order of ids; no row if there is none."""
-        steps = self.along().select("u", "v").distinct()
+    def shortest_path(self, start: str, goal: str) -> DataFrame:
+        """(path, cost): the vertices of a path of fewest edges, the least such path in order of ids; no row if there is none.
+        The search goes on until the goal is met or nothing new is reached."""
+        steps = _cut(self.along().select("u", "v").distinct())
         front = _cut(self.vertices.where(F.col("id") == start).select("id", F.array("id").alias("path")))
         seen = front.select("id")
-        for _ in range(most + 1):
+        while not front.isEmpty():
             hit = front.where(F.col("id") == goal)
-            if hit.count():
+            if not hit.isEmpty():
                 return hit.select("path", (F.size("path") - 1).cast("double").alias("cost"))
             reached = front.join(steps, front["id"] == steps["u"]).select(F.col("v").alias("id"), F.concat("path", F.array("v")).alias("path")).groupBy("id").agg(F.min("path").alias("path"))
             front = _cut(reached.join(seen, "id", "left_anti"))
-            if front.isEmpty():
-                break
             seen = _cut(seen.union(front.select("id")))
         return front.where(F.lit(False)).select("path", F.lit(0.0).alias("cost"))
 
-    def costs(self, start: str, most: int = 100) -> DataFrame:
+    def costs(self, start: str) -> DataFrame:
         """(id, cost, parent) of the cheapest paths from start; weights below 0 count as 0. Only what got cheaper in a round
-        goes on in the next."""
-        steps = self.along().groupBy("u", "v").agg(F.min(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("w"))
+        goes on in the next, until nothing does."""
+        steps = _cut(self.along().groupBy("u", "v").agg(F.min(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("w")))
         best = _cut(self.vertices.where(F.col("id") == start).select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("parent")))
         front = best
-        for _ in range(most):
+        while True:
             tried = front.join(steps, front["id"] == steps["u"]).select(F.col("v").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("parent"))
             tried = tried.groupBy("id").agg(F.min(F.struct("cost", "parent")).alias("b")).select("id", "b.*")
             old = best.select("id", F.col("cost").alias("old"))
@@ -170,21 +179,23 @@ class Graph:
                 break
             labels = new.select("id", "c")
         sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-        return labels.join(sizes, "c").select("id", F.col("c").alias("component"), "size")
+        return labels.join(sizes, "c").select("id", F.col("c").alias("component"), "size").orderBy(F.desc("size"), "component", "id")
 
     def match(self) -> Pattern:
         return Pattern(self)
 
-    def context(self, start: str, depth: int = 2, relation: str | None = None) -> dict[str, DataFrame]:
-        """What surrounds a vertex for a prompt: its vertices by depth, the edges among them, and both as Markdown."""
-        reached = self.bfs(start, depth, relation).select("id", "depth")
+    def context(self, start: str, depth: int = 2, relation: str | None = None, budget: int = 50_000) -> dict[str, DataFrame]:
+        """What surrounds a vertex for a prompt: its vertices by depth, the edges among them, and both as Markdown, by lines
+        (part, line) and as one text. Of the vertices the budget's nearest count, so that the text stays bounded."""
+        reached = _cut(self.bfs(start, depth, relation, budget=budget).select("id", "depth").orderBy("depth", "id").limit(budget))
         vertices = self.vertices.join(reached, "id")
         edges = self.edges.join(reached.select(F.col("id").alias("src")), "src", "left_semi").join(reached.select(F.col("id").alias("dst")), "dst", "left_semi")
         lines = vertices.select(F.lit(0).alias("part"), F.concat(F.lit("- **"), "id", F.lit("** ("), "label", F.lit(")")).alias("line"))
         arrows = edges.select(F.lit(1).alias("part"), F.concat(F.lit("- "), "src", F.lit(" -["), "relation", F.lit("]-> "), "dst").alias("line"))
         sorted_lines = F.array_sort(F.collect_list(F.struct("part", "line")))
-        text = lines.unionByName(arrows).agg(F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("markdown"))
-        return {"vertices": vertices, "edges": edges, "markdown": text}
+        both = lines.unionByName(arrows)
+        text = both.agg(F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("markdown"))
+        return {"vertices": vertices, "edges": edges, "lines": both, "markdown": text}
 
     def guided(self, hits: DataFrame, depth: int = 2, alpha: float = 0.6, relation: str | None = None) -> DataFrame:
         """hits (id, similarity) to (id, seed_similarity, hop, score): what can be reached from each hit, scored by its
@@ -238,3 +249,22 @@ class Pattern:
         out = e.join(chosen(self.source, "u"), "u", "left_semi").join(chosen(self.target, "v"), "v", "left_semi")
         out = out.select(F.col("u").alias("source_id"), "relation", "weight", F.col("v").alias("target_id"))
         return out if self.most is None else out.orderBy("source_id", "target_id", "relation").limit(self.most)
+
+
+@dataclass
+class VectorGraph:
+    """A graph whose vertices have vectors (id, vector)."""
+
+    graph: Graph
+    vectors: DataFrame
+
+    def insert(self, more: DataFrame) -> VectorGraph:
+        """more: id, label and vector of new vertices, or of known ones to replace."""
+        kept = self.vectors.join(more.select("id"), "id", "left_anti")
+        return VectorGraph(self.graph.add_vertices(more.drop("vector")), kept.unionByName(more.select("id", "vector")))
+
+    def connect(self, edges: DataFrame) -> VectorGraph:
+        return VectorGraph(self.graph.add_edges(edges), self.vectors)
+
+    def delete(self, vertex: str) -> VectorGraph:
+        return VectorGraph(self.graph.remove_vertex(vertex), self.vectors.where(F.col("id") != vertex))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.scalars import hash_slot, size_bytes
 from tessera.plans.nodes import All, Always, AnyOf, Leaf, Not
+from tessera.plans.pipeline import sort
+from tessera.plans.predicates import compile_predicate
 
 BUCKETS = 10
 
@@ -29,17 +31,18 @@ def table_stats(df: DataFrame) -> DataFrame:
 
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A row for each column: nulls, distinct values, and the least and greatest of numbers. One pass over the data."""
+    """A row for each column: nulls, distinct values, and the least and greatest of numbers. Each column is read and counted
+    by itself: its values are combined before they move, and no row is repeated for the others."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     names = columns or [n for n, k in kinds.items() if not isinstance(k, (T.ArrayType, T.MapType, T.StructType))]
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
+    out = None
+    for n in names:
+        c = F.col("v")
         x = c.cast("double") if isinstance(kinds[n], T.NumericType) else F.lit(None).cast("double")
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(n).alias("column"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("ndv"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, n in enumerate(names)))
-    return one.select(F.explode(rows).alias("s")).select("s.*")
+        values = df.select(F.col(f"`{n}`").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        one = values.agg(F.lit(n).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(c.isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count(c).alias("ndv"), F.min(x).alias("min"), F.max(x).alias("max"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def histogram(df: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
@@ -176,3 +179,56 @@ def reduced(parts: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     n, s = F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("sum"), zero)
     return parts.agg(n.alias("count"), s.alias("sum"), F.coalesce(s / F.nullif(n, F.lit(0)), zero).alias("avg"), F.coalesce(F.min("min"), zero).alias("min"), F.coalesce(F.max("max"), zero).alias("max"))
+
+
+# Queries over shards: each shard is asked, and what they give is put together.
+
+
+@dataclass(frozen=True)
+class Scatter:
+    """A query for shards, built step by step: rows that match, in an order, from an offset on, or an aggregate of a field."""
+
+    where: Any = None
+    order: tuple[tuple[str, bool], ...] = ()
+    skip: int = 0
+    most: int | None = None
+    op: str | None = None
+    field: str | None = None
+
+    def matching(self, where: Any) -> Scatter:
+        return replace(self, where=where)
+
+    def sorted(self, *order: tuple[str, bool]) -> Scatter:
+        return replace(self, order=order)
+
+    def page(self, skip: int = 0, most: int | None = None) -> Scatter:
+        return replace(self, skip=skip, most=most)
+
+    def aggregate(self, op: str, field: str) -> Scatter:
+        return replace(self, op=op, field=field)
+
+    def shard(self, df: DataFrame) -> DataFrame:
+        """What one shard gives: its first rows that the page can need, or its partial aggregate."""
+        df = df.where(compile_predicate(df, self.where))
+        if self.op:
+            return partials(df.withColumn("__shard", F.lit(0)), "__shard", self.field).drop("__shard")
+        return df if self.most is None or not self.order else sort(df, list(self.order)).limit(self.skip + self.most)
+
+    def gather(self, shards: list[DataFrame]) -> DataFrame:
+        """The shards' rows in the global order, cut once; or the value (one column) of the aggregate."""
+        parts = self.shard(shards[0])
+        for df in shards[1:]:
+            parts = parts.unionByName(self.shard(df))
+        if self.op:
+            return reduced(parts).select(F.col(self.op).alias("value"))
+        if self.order:
+            parts = sort(parts, list(self.order))
+        if self.skip:
+            parts = parts.offset(self.skip)
+        return parts if self.most is None else parts.limit(self.most)
+
+
+def routed(df: DataFrame, key: str, value: Any, shards: int = 4) -> DataFrame:
+    """The rows of a key from the one shard that can have them; df has the column shard, by which it may be stored."""
+    own = df.sparkSession.range(1).select(F.floor(hash_slot(F.lit(str(value))) * shards / 16384).cast("int")).first()[0]
+    return df.where((F.col("shard") == own) & (F.col(key) == value))

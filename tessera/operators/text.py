@@ -38,23 +38,24 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(df: DataFrame, query: str, k: int = 10, key: str = "doc_id", text: str = "text", fuzzy: bool = False) -> DataFrame:
     """The k best rows: key, score (two places) and matched_terms. Terms that a query repeats count each time; fuzzy terms at
     distance 1 weigh 0.75, at distance 2 from a term of five bytes or more 0.5. Rows without terms don't count as rows."""
-    spark = df.sparkSession
-    terms = query_terms(query)
     counts: dict[str, int] = {}
-    for t in terms:
+    for t in query_terms(query):
         counts[t] = counts.get(t, 0) + 1
-    asked = spark.createDataFrame([(t, n, len(t.encode())) for t, n in counts.items()], "q string, times int, bytes int")
     rows = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts")).where("dl > 0")
-    flat = rows.select("key", "dl", F.explode("ts").alias("term"))
+    # Texts are cut down to what a query can match before they become rows.
     if fuzzy:
-        # A query has few terms: each is a literal beside every row's term.
         near = F.array(*(F.struct(F.lit(t).alias("q"), F.lit(n).alias("times"), F.lit(len(t.encode())).alias("bytes")) for t, n in counts.items()))
-        d = lambda x: F.levenshtein(x["q"], F.col("term"), 2)
-        weight = lambda x: F.when(x["q"] == F.col("term"), 1.0).when(d(x) == 1, 0.75).when((d(x) == 2) & (x["bytes"] >= 5), 0.5)
+        d = lambda x, w: F.levenshtein(x["q"], w, 2)
+        fits = lambda x, w: F.when(F.abs(F.length(w) - F.length(x["q"])) > 2, False).otherwise(d(x, w) >= 0)
+        some = F.filter("ts", lambda w: F.exists(near, lambda x: fits(x, w))) if counts else F.slice("ts", 1, 0)
+        weight = lambda x: F.when(x["q"] == F.col("term"), 1.0).when(d(x, F.col("term")) == 1, 0.75).when((d(x, F.col("term")) == 2) & (x["bytes"] >= 5), 0.5)
         total = F.aggregate(near, F.lit(0.0), lambda s, x: s + F.coalesce(weight(x), F.lit(0.0)) * x["times"]) if counts else F.lit(0.0)
-        hits = flat.withColumn("weight", total).where("weight > 0")
     else:
-        hits = flat.join(F.broadcast(asked.select(F.col("q").alias("term"), F.col("times").cast("double").alias("weight"))), "term")
+        some = F.filter("ts", lambda w: w.isin(list(counts)))
+        total = F.lit(0.0)
+        for t, n in counts.items():
+            total = F.when(F.col("term") == t, float(n)).otherwise(total)
+    hits = rows.select("key", "dl", F.explode(some).alias("term")).withColumn("weight", total).where("weight > 0")
     tf = hits.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
     size = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "euclidean", "squared", "dot", "manhattan")
@@ -118,34 +118,96 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def hamming_share(a: Column, b: Column, dims: int) -> Column:
+    """The share of places whose bits differ."""
+    return hamming(a, b) / F.lit(float(dims))
+
+
+def quantised_distance(q: Column, query: Column, metric: str = "cosine") -> Column:
+    """The distance of a query, as it is, to a vector quantised by sq8."""
+    return distance(dequantised(q), query, metric)
+
+
 class InvertedLists:
     """An approximate index: vectors dealt to the nearest of some centroids, queries look in the nearest lists.
 
-    Centroids are fitted on a bounded sample (``sample`` rows); every row is indexed."""
-
-    def __init__(self, df: DataFrame, column: str = "embedding", key: str = "vec_id", lists: int = 32, sample: int = 20_000, rounds: int = 10):
-        self.column, self.key = column, key
-        rows = df.select(key, column).orderBy(F.xxhash64(key), key).limit(sample).collect()
-        x = np.array([r[column] for r in rows], np.float64)
-        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-        c = x[: max(1, min(lists, len(x)))].copy()
+    Centroids are fitted on a bounded sample (``sample`` rows) of vectors of one length; every row is indexed, and rows whose
+    vector is missing or of another length are in no list (no search finds them, as none does without an index). Nearest is
+    by the cosine for the metrics cosine and dot and by the Euclidean distance for the others. The index is a DataFrame with
+    a column ``list``, so that changes are changes of that, and on disk it is one folder a list."""
+
+    def __init__(self, df: DataFrame | None, column: str = "embedding", key: str = "vec_id", lists: int = 32, sample: int = 20_000, rounds: int = 10, metric: str = "cosine"):
+        self.column, self.key, self.metric = column, key, metric
+        self.angle = metric in ("cosine", "dot")
+        if df is None:
+            return
+        rows = df.select(key, column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).collect()
+        size = max((len(r[column]) for r in rows), key=[len(r[column]) for r in rows].count, default=0)
+        x = self._turned(np.array([r[column] for r in rows if len(r[column]) == size], np.float64).reshape(-1, size))
+        c = x[: max(1, min(lists, len(x)))].copy() if len(x) else np.zeros((1, size))
         for _ in range(rounds):
-            own = (x @ c.T).argmax(axis=1)
+            own = self._nearest(x, c)
             for i in range(len(c)):
                 if (own == i).any():
                     c[i] = x[own == i].mean(axis=0)
-            c /= np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
+            c = self._turned(c)
         self.centroids = c
+        self.table = self._dealt(df)
 
-        @F.pandas_udf("int")
-        def nearest(v: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(v.to_list()).astype(np.float64) @ c.T).argmax(axis=1) if len(v) else [], dtype="int32")
+    def _turned(self, x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) if self.angle else x
+
+    def _nearest(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (x @ c.T - (0 if self.angle else (c * c).sum(axis=1) / 2)).argmax(axis=1)
 
-        self.table = df.withColumn("list", nearest(F.col(column)))
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        c, near, angle = self.centroids, self._nearest, self.angle
 
-    def search(self, query: Sequence[float], k: int = 10, probes: int = 8, metric: str = "cosine") -> DataFrame:
-        best = np.argsort(-(self.centroids @ np.asarray(query, np.float64)))[:probes]
-        return knn(self.table.where(F.col("list").isin([int(i) for i in best])).drop("list"), query, k, self.column, self.key, metric)
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            out = np.full(len(v), -1)
+            ok = [i for i, x in enumerate(v) if x is not None and len(x) == c.shape[1]]
+            if ok:
+                out[ok] = near(np.stack([v.iloc[i] for i in ok]).astype(np.float64), c)
+            return pd.Series(out, dtype="int32")
+
+        return df.withColumn("list", nearest(F.col(self.column)))
+
+    def search(self, query: Sequence[float], k: int = 10, probes: int = 8, metric: str | None = None) -> DataFrame:
+        q = np.asarray(query, np.float64)
+        best = np.argsort(-(self.centroids @ q - (0 if self.angle else (self.centroids**2).sum(axis=1) / 2)))[:probes]
+        return knn(self.table.where(F.col("list").isin([int(i) for i in best])).drop("list"), query, k, self.column, self.key, metric or self.metric)
+
+    def insert(self, more: DataFrame) -> InvertedLists:
+        """New rows, dealt by the centroids there are; a key that is known already gets the new row."""
+        kept = self.table.join(more.select(self.key), self.key, "left_anti").select(*self.table.columns)
+        self.table = kept.unionByName(self._dealt(more), allowMissingColumns=True)
+        return self
+
+    update = insert
+
+    def delete(self, ids: DataFrame) -> InvertedLists:
+        self.table = self.table.join(ids.select(self.key), self.key, "left_anti").select(*self.table.columns)
+        return self
+
+    def save(self, path: str) -> None:
+        """The lists, one folder each, and the centroids. This also is what compaction does: changes are applied once."""
+        spark = self.table.sparkSession
+        self.table.repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "list int, centroid array<double>").withColumns({"column": F.lit(self.column), "key": F.lit(self.key), "metric": F.lit(self.metric)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedLists:
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()
+        out = cls(None, rows[0]["column"], rows[0]["key"], metric=rows[0]["metric"])
+        out.centroids, out.table = np.array([r["centroid"] for r in rows], np.float64), spark.read.parquet(f"{path}/lists")
+        return out
+
+    def compact(self, path: str) -> InvertedLists:
+        """The index with all changes applied, as it stands in a folder."""
+        self.save(path)
+        return InvertedLists.load(self.table.sparkSession, path)
 
 
 def strategy(rows: int, dims: int, probes: int = 8, lists: int = 32) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,17 @@ def events(before: DataFrame, after: DataFrame, collection: str, key: str = "_id
     return both.select(F.lit(collection).alias("collection"), kind.alias("operation_type"), "document_id", F.col("a").alias("full_document"), F.col("b").alias("before"))
 
 
+def stamped(changes: DataFrame, at: Column, first: int = 0) -> DataFrame:
+    """Change events with a time and a resume token; tokens are in order, and later calls go on from a greater first."""
+    token = F.lpad((F.monotonically_increasing_id() + F.lit(first)).cast("string"), 20, "0")
+    return changes.withColumns({"timestamp": at, "resume_token": token})
+
+
+def resumed(feed: DataFrame, token: str | None) -> DataFrame:
+    """The events after a token; all for None."""
+    return feed if token is None else feed.where(F.col("resume_token") > token)
+
+
 def subscribe(feed: DataFrame, collection: str | None = None) -> DataFrame:
     """The events of one collection; of all for None, an empty name or *."""
     return feed if collection in (None, "", "*") else feed.where(F.col("collection") == collection)
@@ -35,16 +47,31 @@ def envelope(before: Column, after: Column, op: Column, collection: Column, ts_m
     return F.to_json(F.struct(F.struct(before.alias("before"), after.alias("after"), source.alias("source"), op.alias("op"), ts_ms.alias("ts_ms")).alias("payload")))
 
 
-def dispatch(stream: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, retries: int = 3, interval: str | None = "100 milliseconds") -> DataStreamWriter:
+@dataclass
+class Deliveries:
+    """What a dispatcher has done: batches and events delivered, and tries that failed."""
+
+    batches: int = 0
+    delivered: int = 0
+    failed: int = 0
+
+
+def dispatch(stream: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, retries: int = 3, interval: str | None = "100 milliseconds", counts: Deliveries | None = None) -> DataStreamWriter:
     """Hands each micro-batch to deliver, again on failure and then an error, so that nothing is dropped: the batch comes
-    once more after a restart."""
+    once more after a restart. counts: where to count what happened."""
     import time
 
+    counts = counts or Deliveries()
+
     def run(batch: DataFrame, number: int) -> None:
         for attempt in range(retries + 1):
             try:
-                return deliver(batch, number)
+                deliver(batch, number)
+                counts.batches += 1
+                counts.delivered += batch.count()
+                return
             except Exception:
+                counts.failed += 1
                 if attempt == retries:
                     raise
                 time.sleep(0.05 * 2**attempt)
