@@ -151,10 +151,8 @@ class Engine:
         return self.table(name).agg(F.count(F.lit(1)).alias("count"))
 
     def find(self, f: N.Find) -> DataFrame:
-        c = self.collections.get(f.collection)
-        if c is None:
-            raise KeyError(f"no collection {f.collection}")
-        scope = find.Scope(df := self.table(f.collection), f.alias or f.collection, strict=bool(f.joins or f.alias))
+        c = self.collections.get(f.collection) or Collection(self.table(f.collection), "table_name")
+        scope = find.Scope(df := self.table(f.collection), f.alias or f.collection, tuple(j.alias or j.table for j in f.joins), bool(f.joins or f.alias))
         bind = lambda p, rows: find.rewritten(p, lambda n: scope.bound(n, rows))
         parts = find.conjuncts(f.where)
         late = [p for p in parts if f.joins and not all(scope.of_left(n) for n in find.fields(p))]  # of joined tables

@@ -17,9 +17,9 @@ class Scope:
     """What the names of a statement stand for: tables by name or alias, with the column that each of their fields has in
     the joined rows. A qualifier that names no table and no column is an error where tables have aliases or are joined."""
 
-    def __init__(self, df: DataFrame, *names: str, strict: bool = False):
-        self.tables: dict[str, dict[str, str]] = {n: {c: c for c in df.columns} for n in names}
-        self.left, self.strict = set(df.columns), strict
+    def __init__(self, df: DataFrame, name: str, joined: tuple[str, ...] = (), strict: bool = False):
+        self.tables: dict[str, dict[str, str]] = {name: {c: c for c in df.columns}}
+        self.name, self.joined, self.left, self.strict = name, joined, set(df.columns), strict
 
     def add(self, alias: str, fields: dict[str, str]) -> None:
         if alias in self.tables:
@@ -42,9 +42,9 @@ class Scope:
     def of_left(self, name: str) -> bool:
         """Whether a name needs none of the joined tables."""
         head, _, rest = name.partition(".")
-        own = next(iter(self.tables))
-        first = [n for n in self.tables if self.tables[n] is self.tables[own] or n == own]
-        return (head in first if rest and head in self.tables else head in self.left or head in ("id", "_id"))
+        if rest and head in self.joined:
+            return False
+        return rest != "" and head == self.name or head in self.left or head in ("id", "_id")
 
 
 def rewritten(p: Any, name) -> Any:
@@ -72,8 +72,10 @@ def join(left: DataFrame, right: DataFrame, j: Join) -> tuple[DataFrame, dict[st
     """Equi-join on one field of each side, and which column each of the right side's fields has then; null keys never meet.
     The right side's fields come as {table}_{field} (by its alias where that is taken), and under their own name where the
     left has none of that name."""
+    names = right.columns
+    right = right.select(*(right[f"`{c}`"].alias(f"__{c}") for c in names))  # a table may be joined with itself
     a, kind_a = resolve(left, j.left)
-    b, kind_b = resolve(right, j.right)
+    b, kind_b = resolve(right, f"__{j.right}" if j.right.split(".")[0] in names else "__" + next((x for x in ("_id", "id") if x in names and j.right in ("_id", "id")), j.right))
     if kind_a is None or kind_b is None:
         condition = F.lit(False)
     elif kind_a == kind_b or isinstance(kind_a, T.NumericType) and isinstance(kind_b, T.NumericType):
@@ -81,14 +83,14 @@ def join(left: DataFrame, right: DataFrame, j: Join) -> tuple[DataFrame, dict[st
     else:
         condition = a.cast("string") == b.cast("string")
     taken, named, extra = set(left.columns), {}, []
-    for c in right.columns:
+    for c in names:
         new = f"{j.table}_{c}"
         while new in taken:
             new = f"{j.alias or j.table}_{c}" if new == f"{j.table}_{c}" and j.alias != j.table else f"{new}_"
         named[c] = new
-        extra.append(right[f"`{c}`"].alias(new))
+        extra.append(right[f"`__{c}`"].alias(new))
         taken.add(new)
-    extra += [right[f"`{c}`"].alias(c) for c in right.columns if c not in taken]
+    extra += [right[f"`__{c}`"].alias(c) for c in names if c not in taken]
     return left.join(right, condition, "left" if j.how == "left" else "inner").select(*(left[f"`{c}`"] for c in left.columns), *extra), named
 
 

@@ -146,7 +146,7 @@ class InvertedLists:
         x = self._turned(np.array([r[column] for r in rows if len(r[column]) == size], np.float64).reshape(-1, size))
         c = x[: max(1, min(lists, len(x)))].copy() if len(x) else np.zeros((1, size))
         for _ in range(rounds):
-            own = self._nearest(x, c)
+            own = self._nearest(x, c, self.angle)
             for i in range(len(c)):
                 if (own == i).any():
                     c[i] = x[own == i].mean(axis=0)
@@ -157,18 +157,19 @@ class InvertedLists:
     def _turned(self, x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) if self.angle else x
 
-    def _nearest(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (x @ c.T - (0 if self.angle else (c * c).sum(axis=1) / 2)).argmax(axis=1)
+    @staticmethod
+    def _nearest(x: np.ndarray, c: np.ndarray, angle: bool) -> np.ndarray:
+        return (x @ c.T - (0 if angle else (c * c).sum(axis=1) / 2)).argmax(axis=1)
 
     def _dealt(self, df: DataFrame) -> DataFrame:
-        c, near, angle = self.centroids, self._nearest, self.angle
+        c, near, angle = self.centroids, InvertedLists._nearest, self.angle
 
         @F.pandas_udf("int")
         def nearest(v: pd.Series) -> pd.Series:
             out = np.full(len(v), -1)
             ok = [i for i, x in enumerate(v) if x is not None and len(x) == c.shape[1]]
             if ok:
-                out[ok] = near(np.stack([v.iloc[i] for i in ok]).astype(np.float64), c)
+                out[ok] = near(np.stack([v.iloc[i] for i in ok]).astype(np.float64), c, angle)
             return pd.Series(out, dtype="int32")
 
         return df.withColumn("list", nearest(F.col(self.column)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.catalog import Engine
 from tessera.functions.scalars import hash_slot, tokens
 from tessera.operators import cache, changes, statistics, text, vector
-from tessera.operators.graph import Graph
+from tessera.operators.graph import Graph, checkpoint_folder
+from tessera.plans import nodes as N
 from tessera.plans.pipeline import run_pipeline
 from tessera.sources import files
 from tessera.streaming import feeds
@@ -71,7 +72,7 @@ statement("flt_range", ("orders",), f"SELECT {_O} FROM orders WHERE o_totalprice
 statement("flt_between", ("part",), "FIND part WHERE p_size BETWEEN 5 AND 12", "SELECT * FROM part WHERE p_size BETWEEN 5 AND 12")
 statement("flt_not_between", ("part",), "FIND part WHERE p_size NOT BETWEEN 5 AND 45", "SELECT * FROM part WHERE p_size NOT BETWEEN 5 AND 45")
 statement("flt_in", ("orders",), f"SELECT {_O} FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')", f"SELECT {_O} FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
-statement("flt_like_ci", ("part",), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%A_%1%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_%1%'")
+statement("flt_like_ci", ("part",), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%A_L WID%T'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_L WID%T'")
 statement("flt_prefix_suffix", ("customer",), "SELECT c_custkey, c_name FROM customer WHERE c_name STARTS_WITH 'Customer' AND c_name ENDS_WITH '7'", "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer') AND ends_with(c_name, '7')")
 statement("flt_contains", ("part",), "db.part.find({\"p_type\": {\"$contains\": \"A\"}})", "SELECT * FROM part WHERE contains(p_type, 'A')")
 statement("flt_nested_bool", ("part",), "SELECT p_partkey, p_size FROM part WHERE (p_size < 10 OR p_size > 40) AND NOT (p_retailprice >= 1000 AND p_size = 3)", "SELECT p_partkey, p_size FROM part WHERE (p_size < 10 OR p_size > 40) AND NOT (p_retailprice >= 1000 AND p_size = 3)")
@@ -240,11 +241,50 @@ def vector_norm(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.similarity(vector.distance(e, e)), 6).alias("self"), F.round(vector.norm(e), 5).alias("length"))
 
 
-@query("SELECT vec_id, true AS within FROM embeddings")
-def sq8_roundtrip(spark, sf_dir):
+#: Vectors as places between their least and greatest value, in 255 steps.
+_SQ8 = """q AS (SELECT vec_id, list_min(e) AS lo, (list_max(e) - list_min(e)) / 255 AS s, list_transform(e, lambda x: least(255, greatest(0, floor((x - list_min(e)) / ((list_max(e) - list_min(e)) / 255) + 0.5::DOUBLE)))::INT) AS codes
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
+
+
+@query(f"WITH {_SQ8} SELECT vec_id, round(lo, 6) AS low, round(s, 8) AS scale, array_to_string(codes, ',') AS codes FROM q")
+def sq8_codes(spark, sf_dir):
     df = read(spark, sf_dir, "embeddings").withColumn("q", vector.sq8(F.col("embedding")))
-    off = F.array_max(F.zip_with("embedding", vector.dequantised(F.col("q")), lambda a, b: F.abs(a.cast("double") - b)))
-    return df.select("vec_id", (off <= F.col("q.scale") / 2 + 1e-9).alias("within"))
+    return df.select("vec_id", F.round("q.low", 6).alias("low"), F.round("q.scale", 8).alias("scale"), F.array_join(F.col("q.codes").cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"WITH {_SQ8}, d AS (SELECT vec_id, list_distance(list_transform(codes, lambda c: c * s + lo), {_QS}) AS d FROM q) SELECT vec_id, round(d, 6) AS distance FROM d ORDER BY d, vec_id LIMIT 10")
+def sq8_knn(spark, sf_dir):
+    d = vector.quantised_distance(vector.sq8(F.col("embedding")), vector.vector(_Q), "euclidean")
+    return read(spark, sf_dir, "embeddings").select("vec_id", d.alias("d")).orderBy("d", "vec_id").limit(10).select("vec_id", F.round("d", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] > 0) <> (({_QS})[i] > 0) THEN 1 ELSE 0 END)) / 64.0::DOUBLE, 6) AS share FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def hamming_share(spark, sf_dir):
+    d = vector.hamming_share(vector.binary_codes(F.col("embedding")), vector.binary_codes(vector.vector(_Q)), 64)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(d, 6).alias("share"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))), 5) AS total, 1.0::DOUBLE AS length FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def unit_vectors(spark, sf_dir):
+    df = read(spark, sf_dir, "embeddings").select("vec_id", vector.normalised(F.col("embedding")).alias("u"))
+    return df.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(vector.norm(F.col("u")), 6).alias("length"))
+
+
+@query(_top(f"list_cosine_distance(e, {_QS})", "vec_id % 5 <> 0"))
+def index_changes(spark, sf_dir):
+    """Rows taken out of an index and put back in, others deleted; all lists are probed, so the result is exact."""
+    df = read(spark, sf_dir, "embeddings")
+    index = vector.InvertedLists(df.where("vec_id % 3 <> 0"), lists=16)
+    index.insert(df.where("vec_id % 3 = 0 OR vec_id % 7 = 0")).delete(df.where("vec_id % 5 = 0"))
+    return index.search(_Q, 10, 16).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(_top(f"list_cosine_distance(e, {_QS})"))
+def knn_by_index(spark, sf_dir):
+    """VECTOR NEAR through inverted lists; all are probed, so the result is exact."""
+    e = engine(spark, sf_dir, "embeddings")
+    e.create_vector_index("emb", "embeddings", "embedding", lists=16, probes=16)
+    return e.query(f"SELECT vec_id, distance FROM embeddings VECTOR NEAR {_Q} TOP 10 USING INDEX emb").withColumn("distance", F.round("distance", 6))
 
 
 @query(f"SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] > 0) <> (({_QS})[i] > 0) THEN 1 ELSE 0 END))::BIGINT AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) ORDER BY 2, 1 LIMIT 10")
@@ -294,7 +334,17 @@ def search_documents(spark, sf_dir):
     return found.select("doc_id", F.col("_score").alias("score"), F.array_join("_matched_terms", ",").alias("terms"))
 
 
-@query()
+def _fuzzy_sql(terms: dict[str, int]) -> str:
+    values = ", ".join(f"('{t}', {n})" for t, n in terms.items())
+    return f"""WITH d AS (SELECT doc_id, ts, len(ts) AS dl FROM ({_TERMS}) WHERE len(ts) > 0), p AS (SELECT doc_id, dl, unnest(ts) AS term FROM d),
+q(q, times) AS (VALUES {values}), k AS (SELECT DISTINCT term FROM p), w AS (SELECT term, sum(times * CASE WHEN term = q THEN 1.0::DOUBLE WHEN levenshtein(q, term) = 1 THEN 0.75::DOUBLE WHEN levenshtein(q, term) = 2 AND strlen(q) >= 5 THEN 0.5::DOUBLE ELSE 0 END) AS weight FROM k, q GROUP BY 1 HAVING weight > 0),
+tf AS (SELECT p.term, doc_id, any_value(dl) AS dl, any_value(weight) AS weight, count(*)::DOUBLE AS tf FROM p JOIN w USING (term) GROUP BY 1, 2),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS n, greatest(1.0, avg(dl)) AS a FROM d)
+SELECT doc_id, round(sum(greatest(0.1::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)) * weight) * 100) / 100 AS score, string_agg(term, ',' ORDER BY term) AS terms
+FROM tf JOIN df USING (term), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(_fuzzy_sql({"licence": 1, "realeased": 1}))
 def bm25_fuzzy(spark, sf_dir):
     return text.bm25(read(spark, sf_dir, "documents"), "licence realeased", 20, fuzzy=True).select("doc_id", "score", F.array_join("matched_terms", ",").alias("terms"))
 
@@ -305,9 +355,9 @@ def token_df(spark, sf_dir):
     return flat.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n"))
 
 
-@query(f"SELECT term, doc_id AS key, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM ({_TERMS})) GROUP BY 1, 2")
+@query(f"SELECT term, doc_id AS key, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM (SELECT doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM ({_TERMS})) GROUP BY 1, 2")
 def inverted_index(spark, sf_dir):
-    return text.postings(read(spark, sf_dir, "documents"), "doc_id", "text").select("term", "key", "tf")
+    return text.postings(read(spark, sf_dir, "documents"), "doc_id", "text").select("term", "key", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 # Graphs: customers, suppliers, nations and regions, who buys from whom and where they are.
@@ -441,9 +491,12 @@ def rag_hybrid(spark, sf_dir):
     return e.graph.guided(hits, 2, 0.6).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id::VARCHAR AS id, (CASE WHEN vec_id = 5 THEN 0 WHEN vec_id <= 7 THEN 1 ELSE 2 END)::INT AS depth FROM embeddings WHERE vec_id BETWEEN 5 AND 9")
+@query("""WITH v AS (SELECT vec_id AS i, (CASE WHEN vec_id = 5 THEN 0 WHEN vec_id <= 7 THEN 1 ELSE 2 END)::INT AS depth FROM embeddings WHERE vec_id BETWEEN 5 AND 9)
+SELECT '- **' || i || '** (vec)' AS line, depth FROM v UNION ALL SELECT '- ' || a.i || ' -[NEXT]-> ' || b.i, NULL FROM v a JOIN v b ON b.i - a.i IN (1, 2)""")
 def rag_context(spark, sf_dir):
-    return _rows_graph(spark, sf_dir).graph.context("5", 2)["vertices"].select("id", "depth")
+    found = _rows_graph(spark, sf_dir).graph.context("5", 2)
+    depth = found["vertices"].select(F.concat(F.lit("- **"), "id", F.lit("** (vec)")).alias("line"), "depth")
+    return found["markdown"].select(F.explode(F.split("markdown", "\n")).alias("line")).join(depth, "line", "left").select("line", "depth")
 
 
 # Statistics.
@@ -473,9 +526,9 @@ def selectivity(spark, sf_dir):
     return engine(spark, sf_dir, "part").query("EXPLAIN SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_brand = 'Brand#1'")
 
 
-@query("SELECT count(*) AS count FROM orders")
+@query("SELECT count(*) AS count, sum(25 + strlen(n_name) + 24)::BIGINT AS bytes, sum(25 + strlen(n_name) + 24) / count(*) AS avg_bytes FROM nation".replace("25 + strlen(n_name) + 24", "11 + 8 + 6 + strlen(n_name) + 11 + 8"))
 def collection_count(spark, sf_dir):
-    return engine(spark, sf_dir, "orders").collection_stats("orders").select("count")
+    return engine(spark, sf_dir, "nation").collection_stats("nation")
 
 
 # Shards, merges, replay, changes.
@@ -558,13 +611,18 @@ def ttl_live(spark, sf_dir):
     return feeds.live(e, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'c' ELSE 'u' END AS op, value AS after_value FROM events""")
+_CDC = {"op": "$.payload.op", "after_id": "$.payload.after.event_id", "after_value": "$.payload.after.value", "before_value": "$.payload.before.value", "at": "$.payload.ts_ms", "source_at": "$.payload.source.ts_ms", "lsn": "$.payload.source.lsn", "collection": "$.payload.source.collection", "snapshot": "$.payload.source.snapshot"}
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'c' ELSE 'u' END AS op, event_id::VARCHAR AS after_id, value AS after_value, CASE WHEN event_type <> 'signup' THEN value - 1 END AS before_value,
+(event_id * 10)::VARCHAR AS at, (event_id * 10)::VARCHAR AS source_at, event_id::VARCHAR AS lsn, 'events' AS collection, 'false' AS snapshot FROM events""")
 def cdc_envelope(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "c").otherwise("u")
-    body = F.struct("event_id", "value")
-    out = e.select("event_id", feeds.envelope(F.lit(None).cast("string"), body, op, F.lit("events"), F.col("event_id"), F.col("event_id")).alias("j"))
-    return out.select("event_id", F.get_json_object("j", "$.payload.op").alias("op"), F.get_json_object("j", "$.payload.after.value").cast("double").alias("after_value"))
+    before = F.when(F.col("event_type") != "signup", F.struct("event_id", (F.col("value") - 1).alias("value")))
+    out = e.select("event_id", feeds.envelope(before, F.struct("event_id", "value"), op, F.lit("events"), F.col("event_id") * 10, F.col("event_id")).alias("j"))
+    named = {n: F.get_json_object("j", p) for n, p in _CDC.items()}
+    return out.select("event_id", *(c.cast("double").alias(n) if n.endswith("_value") else c.alias(n) for n, c in named.items()))
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'view'")
@@ -613,3 +671,231 @@ def mvcc_conflicts(spark, sf_dir):
     reads = e.select(F.col("user_id").alias("txn"), (F.col("user_id") % 50).alias("key"), F.col("event_id").alias("snapshot_ts"))
     committed = e.select((F.col("event_id") % 50).alias("key"), F.col("event_id").alias("commit_ts"))
     return changes.conflicts(writes, reads, committed).select("txn", "key")
+
+
+# Joins by alias, with fields of one name, and before the nearest vectors.
+
+statement("join_alias", ("orders", "customer"), "SELECT o.o_orderkey AS k, c.c_name AS name, c.c_acctbal FROM orders o JOIN customer AS c ON c.c_custkey = o.o_custkey WHERE c.c_acctbal > 5000 AND o.o_orderstatus = 'F' OR o.o_orderkey = 3 ORDER BY c.c_acctbal DESC, k LIMIT 50".replace(", k LIMIT", ", o.o_orderkey LIMIT"), "SELECT o_orderkey AS k, c_name AS name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND o_orderstatus = 'F' OR o_orderkey = 3 ORDER BY c_acctbal DESC, o_orderkey LIMIT 50")
+
+
+def _places(spark, sf_dir) -> Engine:
+    """Nations and regions whose fields have the same names."""
+    e = engine(spark, sf_dir, "nation", "region")
+    e.register("nation", e.table("nation").toDF("id", "name", "region"), "id")
+    return e.register("region", e.table("region").toDF("id", "name"), "id")
+
+
+@query("SELECT n.n_nationkey AS id, r.r_regionkey AS region_id, r.r_name AS place FROM nation n JOIN region r ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3) AND n_nationkey > 2")
+def join_same_name(spark, sf_dir):
+    return _places(spark, sf_dir).query("SELECT nation.id, region.id, region.name AS place FROM nation JOIN region ON nation.region = region.id WHERE region.id IN (1, 3) AND nation.id > 2")
+
+
+@query("SELECT a.n_nationkey AS id, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE b.n_nationkey < 5")
+def join_itself(spark, sf_dir):
+    return _places(spark, sf_dir).query("SELECT a.id, b.id AS other FROM nation a JOIN nation b ON a.region = b.region WHERE b.id < 5")
+
+
+@query(_top(f"list_cosine_distance(e, {_QS})", "label IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')"))
+def join_filter_right_near(spark, sf_dir):
+    e = engine(spark, sf_dir, "embeddings", "region")
+    return e.query(f"SELECT e.vec_id, distance FROM embeddings e JOIN region r ON e.label = r.r_regionkey WHERE r.r_name STARTS_WITH 'A' VECTOR NEAR {_Q} TOP 10").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_orderkey LIMIT 20")
+def parameters(spark, sf_dir):
+    return engine(spark, sf_dir, "orders").query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = $2 AND o_totalprice > $1 ORDER BY o_orderkey LIMIT $3", [1000, "F", 20])
+
+
+@query("SELECT user_id AS _id, string_agg(event_type, ',' ORDER BY event_type DESC, event_id DESC) AS types, arg_max(event_type, event_type) AS top, arg_min(event_type, event_type) AS low FROM events GROUP BY 1")
+def grp_push_descending(spark, sf_dir):
+    stages = [{"$sort": {"event_type": -1, "event_id": -1}}, {"$group": {"_id": "$user_id", "types": {"$push": "$event_type"}, "top": {"$first": "$event_type"}, "low": {"$last": "$event_type"}}}]
+    return engine(spark, sf_dir, "events").aggregate("events", stages).withColumn("types", F.array_join("types", ","))
+
+
+@query("SELECT user_id AS _id, arg_max(value, event_id) AS value FROM (SELECT * FROM events e WHERE event_type = (SELECT min(event_type) FROM events f WHERE f.user_id = e.user_id)) GROUP BY 1")
+def grp_first_mixed(spark, sf_dir):
+    stages = [{"$sort": {"event_type": 1, "event_id": -1}}, {"$group": {"_id": "$user_id", "value": {"$first": "$value"}}}]
+    return engine(spark, sf_dir, "events").aggregate("events", stages)
+
+
+# The catalog, cursors, keys, files.
+
+
+@query("SELECT 'n_nationkey' AS field, 'int' AS type UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'int'")
+def describe_table(spark, sf_dir):
+    return engine(spark, sf_dir, "nation").query("DESCRIBE nation")
+
+
+@query("SELECT unnest(['" + "', '".join(sorted(KEYS)) + "']) AS table_name")
+def reflected_tables(spark, sf_dir):
+    return engine(spark, sf_dir).query("SELECT table_name FROM information_schema.tables")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 7")
+def key_lookup(spark, sf_dir):
+    return engine(spark, sf_dir, "orders").find_one("orders", 7)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def cursor_batches(spark, sf_dir):
+    e = engine(spark, sf_dir, "orders")
+    cursor, _ = e.open_cursor("orders", N.Leaf("eq", "o_orderstatus", "F"), 100)
+    return e.get_more(cursor, 50).select("o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")
+def index_lookup(spark, sf_dir):
+    e = engine(spark, sf_dir, "customer")
+    e.query("CREATE INDEX by_nation ON customer (c_nationkey)")
+    return e.query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")
+
+
+@query("SELECT 14::BIGINT AS a, 'x' AS b, 2.5::DOUBLE AS c UNION ALL SELECT 2, NULL, NULL")
+def json_import(spark, sf_dir):
+    return files.documents(spark, [{"a": 14, "b": "x", "c": 2.5}, {"a": 2}])
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A place for a query's own files, in the shared folder."""
+    import uuid
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query("SELECT * FROM nation")
+def csv_import(spark, sf_dir):
+    files.write_csv(read(spark, sf_dir, "nation"), path := _folder(spark, "csv"))
+    return files.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def snapshot_roundtrip(spark, sf_dir):
+    files.write_snapshot({"customer": read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")}, path := _folder(spark, "snapshot"))
+    return files.read_snapshot(spark, path)["customer"]
+
+
+@query(f"WITH {_GRAPH} SELECT relation, count(*) AS n, (SELECT count(*) FROM v) AS vertices FROM e GROUP BY 1")
+def graph_roundtrip(spark, sf_dir):
+    files.write_graph(graph(spark, sf_dir), path := _folder(spark, "graph"))
+    g = files.read_graph(spark, path)
+    return g.edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).crossJoin(g.vertices.agg(F.count(F.lit(1)).alias("vertices")))  # one row
+
+
+# Changes of rows by key, in graphs, in caches and between regions.
+
+
+@query("SELECT n_nationkey, CASE n_nationkey WHEN 4 THEN 'Four' WHEN 5 THEN NULL WHEN 6 THEN 'Six' ELSE n_name END AS n_name, CASE n_nationkey WHEN 4 THEN NULL WHEN 5 THEN n_regionkey + 10 ELSE n_regionkey END::INT AS n_regionkey FROM nation")
+def put_and_patch(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.put("nation", 4, {"n_name": "Four"})
+    e.patch("nation", 5, {"$inc": {"n_regionkey": 10}, "$unset": {"n_name": 1}})
+    e.patch("nation", 6, {"n_name": "Six"})
+    return e.table("nation")
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#5' THEN 'five' ELSE p_type END AS p_type, CASE WHEN p_brand = 'Brand#5' THEN p_size + 1 ELSE p_size END::INT AS p_size FROM part")
+def mongo_update(spark, sf_dir):
+    e = engine(spark, sf_dir, "part")
+    e.query('db.part.updateMany({"p_brand": "Brand#5"}, {"$set": {"p_type": "five"}, "$inc": {"p_size": 1}})')
+    return e.table("part").select("p_partkey", "p_type", "p_size")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part WHERE p_size > 40) THEN 0 ELSE p_size END::INT AS p_size FROM part")
+def find_and_modify(spark, sf_dir):
+    return changes.find_and_modify(read(spark, sf_dir, "part"), N.Leaf("gt", "p_size", 40), {"p_size": 0}, "p_partkey")[1].select("p_partkey", F.col("p_size").cast("int").alias("p_size"))
+
+
+@query("SELECT n_nationkey, n_regionkey, 7::INT AS rank FROM nation")
+def alter_table(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.query("ALTER TABLE nation ADD COLUMN rank INT DEFAULT 7")
+    e.query("ALTER TABLE nation DROP COLUMN n_name")
+    return e.table("nation")
+
+
+@query("SELECT label AS _id, count(*) AS n FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY 1")
+def ttl_in_find(spark, sf_dir):
+    e = engine(spark, sf_dir, "embeddings")
+    df = e.table("embeddings").withColumn("gone", F.when(F.col("vec_id") % 10 == 0, F.lit("2001-01-01").cast("timestamp")).when(F.col("vec_id") % 10 == 1, F.lit("2999-01-01").cast("timestamp")))
+    return e.register("embeddings", df, "vec_id", "gone").aggregate("embeddings", [{"$group": {"_id": "$label", "n": {"$sum": 1}}}])
+
+
+@query("SELECT vec_id AS query_id, vec_id AS entry_id, 'v' || vec_id AS payload FROM embeddings WHERE vec_id BETWEEN 30 AND 49")
+def semantic_cache(spark, sf_dir):
+    """Entries put in two goes, of which the first has expired and the cap lets the newest twenty stay."""
+    df = read(spark, sf_dir, "embeddings")
+    rows = df.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vector"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("payload"))
+    at = lambda t: F.lit(t).cast("timestamp")
+    c = cache.SemanticCache(spark, 300, 20).put(rows.where("entry_id < 10"), at("2024-01-01 00:00:00")).put(rows.where("entry_id < 50"), at("2024-01-01 01:00:00")).sweep(at("2024-01-01 01:01:00"))
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = c.get(asked, at("2024-01-01 01:02:00"))
+    return found.where(F.col("similarity") > 0.999999).select("query_id", "entry_id", "payload")
+
+
+@query(f"WITH {_GRAPH} SELECT id, label FROM v WHERE label = 'supplier' UNION ALL SELECT id, label FROM v WHERE id = 'c:7'")
+def vertex_lookup(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.by_label("supplier").unionByName(g.by_property("id", "c:7")).select("id", "label")
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, relation, weight FROM e WHERE src <> 's:3' AND dst <> 's:3' AND relation <> 'BOUGHT_FROM' AND NOT (src = 'n:1' AND dst LIKE 'r:%') UNION ALL SELECT 'r:0', 'x:1', 'LINKS', 2.0 UNION ALL SELECT 'r:1', 'r:0', 'LINKS', 1.0")
+def graph_changes(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    g = graph(spark, sf_dir)
+    to = g.edges.where("src = 'n:1' AND dst LIKE 'r:%'").first()["dst"]
+    e.graph = Graph(g.vertices, g.edges.where("relation <> 'BOUGHT_FROM'")).remove_vertex("s:3")
+    e.query("CREATE EDGE FROM 'r:0' TO 'x:1' TYPE LINKS WEIGHT 2.0")
+    e.query("CREATE (a:region {id: 'r:1'})-[:LINKS]->(b:region {id: 'r:0'})")
+    e.query("DELETE EDGE FROM 'n:1' TO $1", [to])
+    return e.graph.edges.select("src", "dst", "relation", "weight")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id BETWEEN 5 AND 11 ORDER BY label DESC, vec_id LIMIT 4 OFFSET 1")
+def cypher_order(spark, sf_dir):
+    return _rows_graph(spark, sf_dir).query("MATCH (a:embeddings {id: '5'})-[:NEXT*1..3]->(b:embeddings) RETURN b.vec_id, b.label ORDER BY b.label DESC, b.vec_id SKIP 1 LIMIT 4")
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, 'o_orderstatus' AS field, CASE WHEN o_orderkey % 4 = 0 THEN 'B' WHEN o_orderkey % 2 = 0 THEN 'A' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 10 <> 3")
+def geo_merge(spark, sf_dir):
+    """Two regions change and remove orders; each one's deltas reach a third in any order."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderstatus", "o_orderkey")
+    base = o.drop("o_orderkey")
+    set_ = lambda m, v: o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % m == 0, v).otherwise(F.col("o_orderstatus"))).drop("o_orderkey")
+    first = changes.deltas(base, set_(2, "A"), "key", "east", F.lit(10))
+    second = changes.deltas(base, set_(4, "B").where("key NOT LIKE '%3'"), "key", "west", F.lit(20))
+    start = base.select("key", F.lit("o_orderstatus").alias("field"), F.col("o_orderstatus").alias("value"), F.lit(0).alias("ts"), F.lit("base").alias("region"))
+    merged = changes.apply_deltas(changes.apply_deltas(start, second), first)
+    return merged.where("field IS NOT NULL").select("key", "field", "value")
+
+
+def _shards(spark, sf_dir) -> list[DataFrame]:
+    df = statistics.by_slot(read(spark, sf_dir, "orders"), "o_orderkey")
+    return [df.where(F.col("shard") == k).drop("slot", "shard") for k in range(4)]
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def scatter_page(spark, sf_dir):
+    asked = statistics.Scatter().matching(N.Leaf("eq", "o_orderstatus", "O")).sorted(("o_totalprice", False), ("o_orderkey", True)).page(10, 20)
+    return asked.gather(_shards(spark, sf_dir)).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT round(avg(o_totalprice), 6) AS value FROM orders WHERE o_orderstatus = 'O'")
+def scatter_average(spark, sf_dir):
+    return statistics.Scatter().matching(N.Leaf("eq", "o_orderstatus", "O")).aggregate("avg", "o_totalprice").gather(_shards(spark, sf_dir)).select(F.round("value", 6).alias("value"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 11")
+def routed_lookup(spark, sf_dir):
+    return statistics.routed(statistics.by_slot(read(spark, sf_dir, "orders"), "o_orderkey"), "o_orderkey", 11).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT p_partkey, 'update' AS operation_type FROM part WHERE p_size > 40")
+def resumed_feed(spark, sf_dir):
+    """The events after a token: the second of two goes."""
+    e = engine(spark, sf_dir, "part")
+    before = e.table("part")
+    gone = feeds.stamped(feeds.events(before, before.where("p_size >= 3"), "part", "p_partkey"), F.lit("2024-01-01").cast("timestamp"))
+    e.query("UPDATE part SET p_size = p_size + 1 WHERE p_size > 40")
+    changed = feeds.stamped(feeds.events(before, e.table("part"), "part", "p_partkey"), F.lit("2024-01-02").cast("timestamp"), 10**15)
+    feed = gone.unionByName(changed)
+    return feeds.resumed(feed, f"{10**15 - 1:020d}").select(F.col("document_id").cast("long").alias("p_partkey"), "operation_type")

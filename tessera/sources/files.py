@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ def documents(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
         return spark.createDataFrame([], "_id string")
     texts = spark.createDataFrame(lines, "value string")
     kinds = texts.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"]
-    schema = kinds.replace("OBJECT<", "STRUCT<")
+    schema = re.sub(r"DECIMAL\([^)]*\)", "DOUBLE", kinds.replace("OBJECT<", "STRUCT<"))
     return texts.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
