@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Unicode's White_Space, as regular expressions of tokenizers see it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: How many words a worker keeps encoded, twice over.
-KEEP = 300_000
+KEEP = 200_000
 #: Slots for arcs that a worker has worked out.
 ARCS = 1 << 20
 

@@ -173,7 +173,7 @@ def _measured(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in sliced(batches):
-            sums = np.concatenate([scorer.texts(g) for g in groups(strings(column(batch, "text")))] or [np.zeros((0, len(sent.value.names) + 1))])
+            sums = np.concatenate([scorer.texts(g) for g in groups(strings(column(batch, "text")), 1 << 20)] or [np.zeros((0, len(sent.value.names) + 1))])
             n = sums[:, -1]
             bits = -sums[:, :-1] / np.maximum(n, 1)[:, None]
             best = bits.argmin(axis=1)

@@ -126,7 +126,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         held = 0
         for batch in batches:
             own, at = column(batch, "doc_id").to_pylist(), 0
-            for group in groups(strings(column(batch, "text")), 1 << 22):
+            for group in groups(strings(column(batch, "text")), 1 << 20):
                 for i, x in enumerate(encoder.ids(group), at):
                     names.append(own[i])
                     raw.append(x + end)
