@@ -38,7 +38,7 @@ class VectorIndex:
     column: str
     metric: str = "cosine"
     lists: vector.InvertedLists | None = None
-    probes: int = 8
+    probes: int = vector.PROBES
 
 
 def parse(statement: str, args: Sequence[Any] = ()) -> Any:
@@ -90,7 +90,7 @@ class Engine:
         self.collections[name].df = df
         self.stats.pop(name, None)
 
-    def create_vector_index(self, name: str, collection: str, column: str, metric: str = "cosine", lists: int = 0, probes: int = 8) -> None:
+    def create_vector_index(self, name: str, collection: str, column: str, metric: str = "cosine", lists: int = 0, probes: int = vector.PROBES) -> None:
         """An index by name; with lists, inverted lists that VECTOR NEAR looks in, and else the vectors themselves."""
         key = self.collections[collection].key
         made = vector.InvertedLists(self.table(collection), column, key, lists, metric=metric) if lists else None

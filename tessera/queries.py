@@ -305,7 +305,7 @@ def semcache_lookup(spark, sf_dir):
 
 @query()
 def knn_inverted_lists(spark, sf_dir):
-    return vector.InvertedLists(read(spark, sf_dir, "embeddings")).search(_Q, 10, 16).select("vec_id", F.round("distance", 6).alias("distance"))
+    return vector.InvertedLists(read(spark, sf_dir, "embeddings")).search(_Q, 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 # Text.

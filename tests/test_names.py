@@ -106,6 +106,21 @@ def test_recall_of_inverted_lists(spark, tmp_path, metric):
     assert hit >= 72  # 24 of 32 lists: these vectors have no clusters
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_index(spark, sf):
+    """The index as knn_inverted_lists builds and searches it, over every vector whose id is divisible by 20."""
+    index = vector.InvertedLists(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+    rows = index.table.select("vec_id", "embedding", "list").toPandas()
+    x = np.stack(rows.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(rows.vec_id.to_numpy() % 20 == 0)
+    best = np.argsort(-(x[asked] @ x.T), axis=1)[:, :10]
+    lists = np.argsort(-(x[asked] @ index.centroids.T), axis=1)[:, : vector.PROBES]
+    assert np.mean([np.isin(rows.list.to_numpy()[b], own).mean() for b, own in zip(best, lists, strict=True)]) >= 0.9
+    found = {r.vec_id for r in index.search(x[asked[0]], 10).collect()}
+    assert found == set(rows.vec_id.to_numpy()[[b for b in np.argsort(-(x[asked[0]] @ x.T)) if rows.list[b] in lists[0]][:10]].tolist())
+
+
 def test_answers_in_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     v = rnd.normal(size=(90, 4)).astype("float32")
