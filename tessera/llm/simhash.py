@@ -23,11 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut_lineage, mapped, meet, scan, texts
+from tessera.llm.common import column, cut_lineage, mapped, meet, mix, scan, texts
 from tessera.llm.components import components
-from tessera.llm.minhash import near_copies
+from tessera.llm.minhash import candidates, near_copies
 
 BITS, BLOCKS, DISTANCE, SEED, MOST = 64, 4, 2, 42, 64
+#: For resemblance: words of a fingerprint, blocks drawn from its bits, bits that may differ.
+WIDE, DRAWN, RADIUS = 4, 64, 72
+_SEEDS = mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _text_fingerprint(raw: bytes, shingle: int) -> int:
@@ -89,13 +92,50 @@ def near_components(docs: DataFrame, shingle: int = 3, most: int = MOST) -> Data
     return meet(prints, labels, ["fp"], ["component_id"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def wide_prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of WIDE words of sets of hashes, which begin at at; zero for empty sets."""
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    out = np.zeros((len(size), WIDE), np.uint64)
+    if not len(some):
+        return out
+    size = size[some]
+    # A word holds eight counters of one byte, each for up to 255 hashes.
+    steps = -(-size // 255)
+    first = np.cumsum(steps) - steps
+    cut = np.repeat(at[some], steps) + 255 * (np.arange(steps.sum()) - np.repeat(first, steps))
+    for w in range(WIDE):
+        x, votes = mix(h ^ _SEEDS[w]), np.empty((len(some), 8, 8), np.int64)
+        for bit in range(8):
+            counts = np.add.reduceat((x >> np.uint64(bit)) & np.uint64(0x0101010101010101), cut)
+            votes[:, :, bit] = np.add.reduceat(counts.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        out[some, w] = np.packbits((2 * votes > size[:, None, None]).reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def block_pairs(nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (key, node, fp) to the pairs (ka, u, kb, v) that share a block and differ in at most RADIUS bits, and the members
+    (t, band, key, node) of blocks that more than most share. A block is of as many bits as keep strangers apart: two more
+    than the number of nodes has, at least 16, drawn from all."""
+    nodes = cut_lineage(nodes)
+    width = max(16, nodes.count().bit_length() + 1)
+    draw = np.random.RandomState(SEED)
+    masks = [np.packbits(np.isin(np.arange(BITS * WIDE), draw.permutation(BITS * WIDE)[:width]), bitorder="little").view("<i8").tolist() for _ in range(DRAWN)]
+    blocks = F.array(*(F.xxhash64(*(F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(words) if m)) for words in masks))
+    pairs, large = candidates(nodes.select("key", "node", blocks.alias("bands")), most)
+    a, b = (nodes.select(F.col("key").alias(k), F.col("fp").alias(x)) for k, x in (("ka", "fa"), ("kb", "fb")))
+    bits = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(WIDE)), F.lit(0))
+    return pairs.join(a, "ka").join(b, "kb").where(bits <= RADIUS).select("ka", "u", "kb", "v"), large
+
+
+def near_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 16) -> DataFrame:
     """The operator at a resemblance of word shingles instead of a number of bits: doc_id, component_id.
 
-    Two texts of five-word resemblance 0.8 differ in about ten of 64 bits, and pigeonholes for ten bits would be blocks of
-    five bits each, which join everything with everything. So the blocks are of min-wise hashes here (``minhash``), and
-    what shares a block is verified by its shingles in full; the README has the figures for SimHash at each radius."""
-    return near_copies(docs, least, shingle)
+    Two texts of five-word resemblance 0.8 differ in about 39 of 256 bits. Whole-block pigeonholes for so many would be of
+    few bits each, which join everything with everything. So the blocks are DRAWN draws of bits of wide fingerprints; of
+    fingerprints that share one those within RADIUS bits are verified by their shingles in full. What no draw leaves in one
+    block is met by min-wise bands too (``minhash``), so that no pair depends on the draws alone."""
+    return near_copies(docs, least, shingle, most, wide_prints, block_pairs)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
