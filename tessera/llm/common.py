@@ -44,9 +44,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: executors may be lost afterwards."""
+    """Writes df to the shared checkpoint folder and reads it from there: executors may be lost afterwards. Shuffle files and
+    checkpoints that earlier steps left are deleted now instead of when the driver happens to collect its garbage."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
