@@ -18,6 +18,7 @@ texts are ``und`` and those with letters are not rejected. A null id is held out
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,8 @@ from tessera.llm.common import column, mapped, mix, residue, scan, sliced, strin
 ORDER, ROWS, WORDS, LETTERS, UNKNOWN = 4, 400, 50_000, 64, 1 / 3000
 #: Rejection: bits per letter above the calibration's highest, and the allowance for short texts (over the root of letters).
 MARGIN, SHORT = 1.5, 4.0
-#: Pieces of text that a worker keeps scored (fewer with more than 40 languages), and values in a table of its work.
-KEEP, CELLS = 100_000, 4_000_000
-_LETTERS = regex.compile(r"\p{L}+").findall
+#: Values that a worker keeps of runs of letters, and characters of text that it scores at a time.
+CELLS, BLOCK, SLOTS = 4_000_000, 1 << 18, 20
 _START, _STOP = 1, 2
 
 
@@ -50,6 +50,31 @@ def _layout(words: list[str]):
     return mix(codes.astype(np.uint64) + np.uint64(77)), np.arange(len(codes)) - begin[word], word
 
 
+@lru_cache(1)
+def _is_letter() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(x) for x in regex.findall(r"\p{L}", "".join(map(chr, range(0x110000))))]] = True
+    return out
+
+
+def _spelled(texts: list[str]):
+    """As _layout, of all runs of letters in texts; which text each letter is of."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = np.concatenate(([False], _is_letter()[codes], [False]))
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2] + 2
+    begin = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    out = np.empty(len(place), np.uint32)
+    inner = np.ones(len(place), bool)
+    inner[begin] = inner[begin + size - 1] = False
+    out[inner] = codes[letter[1:-1]]
+    out[begin], out[begin + size - 1] = _START, _STOP
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return mix(out.astype(np.uint64) + np.uint64(77)), place, np.repeat(np.searchsorted(ends, start, side="right"), size)
+
+
 def _grams(letters: np.ndarray, place: np.ndarray, k: int):
     """Ends of the k-grams that stay in a word (a lone start is none), with hashes of gram, context and suffix."""
     h = windows(letters, k)
@@ -121,9 +146,8 @@ class Model:
             out.append((gram, np.maximum(c - d, 0) / np.maximum(total[of], 1) + g[of] * below, contexts, g))
         return out
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """For each word the log2 probability in each language and, last, the number of letters predicted."""
-        letters, place, word = _layout(words)
+    def values(self, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each letter its log2 probability after those before it, in each language."""
         value = np.full((len(letters), len(self.names)), np.log2(UNKNOWN), np.float32)
         for k, (grams, contexts) in enumerate(self.orders, 1):
             end, h, context, _, _ = _grams(letters, place, k)
@@ -131,38 +155,75 @@ class Model:
             value[end[which], language] += g
             which, language, p = _entries(grams, h)
             value[end[which], language] = p  # it has the lower orders in it
-        out = np.zeros((len(words), len(self.names) + 1))
-        told = place > 0
-        for i in range(len(self.names)):
-            out[:, i] = np.bincount(word[told], value[told, i], len(words))
-        out[:, -1] = np.bincount(word[told], minlength=len(words))
-        return out
+        return value
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """For each word the log2 probability in each language and, last, the number of letters predicted."""
+        letters, place, word = _layout(words)
+        value, told = self.values(letters, place), place > 0
+        out = [np.bincount(word[told], value[told, i], len(words)) for i in range(len(self.names))]
+        return np.stack([*out, np.bincount(word[told], minlength=len(words))], axis=1)
 
 
 class Scorer:
-    """Sums a model's word scores over texts; pieces that recur are scored once."""
+    """Sums a model's log2 probabilities over the letters of texts. A letter's depends on the ORDER letters that end with it,
+    fewer where the word begins; it is asked of the model once for each such run and kept."""
 
     def __init__(self, model: Model):
-        self.model, self.place = model, {}
-        self.values = np.zeros((0, len(model.names) + 1))
-        self.keep, self.step = min(KEEP, CELLS // len(model.names)), max(1, min(50_000, CELLS // len(model.names) // 8))
+        self.model = model
+        self.runs, self.values = np.zeros(0, np.uint64), np.zeros((len(model.names), 0))
+        self.slots = np.zeros(1 << SLOTS, np.int32)  # where a run stands that ends with the slot's bits
 
     def texts(self, values: list[str]) -> np.ndarray:
-        if len(self.place) > self.keep:
-            self.place, self.values = {}, self.values[:0]
-        cut = [t.split() for t in values]
-        fresh = list(set().union(*cut) - self.place.keys())
-        words = [[p.lower()] if p.isalpha() else _LETTERS(p.lower()) for p in fresh]
-        flat = sorted({w for ws in words for w in ws})
-        new = np.zeros((len(fresh), self.values.shape[1]))
-        if flat:
-            scored = np.concatenate([self.model.words(flat[a : a + self.step]) for a in range(0, len(flat), self.step)])
-            index = {w: i for i, w in enumerate(flat)}
-            np.add.at(new, np.repeat(np.arange(len(fresh)), [len(ws) for ws in words]), scored[[index[w] for ws in words for w in ws]])
-        self.place.update(zip(fresh, range(len(self.values), len(self.values) + len(fresh)), strict=True))
-        self.values = np.concatenate((self.values, new))
-        get = self.place.__getitem__
-        return np.array([self.values[np.fromiter(map(get, c), np.int64, len(c))].sum(axis=0) for c in cut]).reshape(len(values), -1)
+        """For each text the sum in each language and, last, the number of letters predicted."""
+        out = np.zeros((len(values), len(self.model.names) + 1))
+        letters, place, owner = _spelled([t.lower() for t in values])
+        told = np.flatnonzero(place > 0)
+        if not len(told):
+            return out
+        run = np.zeros(len(letters), np.uint64)
+        for k in range(2, ORDER + 1):  # those of a full run, and those that a word begins with
+            here = place[k - 1 :] >= k - 1
+            run[k - 1 :][here] = windows(letters, k)[here]
+        at = self._places(run[told], letters, place, told)
+        out[:, -1] = np.bincount(owner[told], minlength=len(values))
+        some = np.flatnonzero(out[:, -1])
+        first = np.concatenate(([0], np.cumsum(out[some, -1].astype(np.int64))[:-1]))
+        for i, value in enumerate(self.values):
+            out[some, i] = np.add.reduceat(value[at], first)
+        return out
+
+    def _places(self, run: np.ndarray, letters: np.ndarray, place: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Where the values of the runs stand that end at the letters told."""
+        new = np.arange(len(run))
+        if len(self.runs):
+            at = self._found(run)
+            new = np.flatnonzero(self.runs[at] != run)
+            if not len(new):
+                return at
+        if len(self.runs) > CELLS // len(self.model.names):
+            self.runs, self.values, new = self.runs[:0], self.values[:, :0], np.arange(len(run))
+            self.slots[:] = 0
+        fresh, pick = np.unique(run[new], return_index=True)
+        step, parts = max(1, CELLS // len(self.model.names) // 8 // ORDER), []
+        for a in range(0, len(fresh), step):
+            end = told[new[pick[a : a + step]]]
+            size = np.minimum(place[end], ORDER - 1) + 1
+            last = np.cumsum(size) - 1
+            inner = np.arange(size.sum()) - np.repeat(last - size + 1, size)
+            parts.append(self.model.values(letters[np.repeat(end - size + 1, size) + inner], inner)[last].T.astype(np.float64))
+        runs = np.concatenate((self.runs, fresh))
+        by = np.argsort(runs)
+        self.runs, self.values = runs[by], np.ascontiguousarray(np.concatenate((self.values, *parts), axis=1)[:, by])
+        self.slots[self.runs & np.uint64((1 << SLOTS) - 1)] = np.arange(len(self.runs))
+        return self._found(run)
+
+    def _found(self, run: np.ndarray) -> np.ndarray:
+        """Where the runs stand; any place for one that is not there."""
+        at = self.slots[run & np.uint64((1 << SLOTS) - 1)]
+        other = np.flatnonzero(self.runs[at] != run)
+        at[other] = np.minimum(np.searchsorted(self.runs, run[other]), len(self.runs) - 1)
+        return at
 
 
 def _measured(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,7 +234,7 @@ def _measured(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in sliced(batches):
-            sums = np.concatenate([scorer.texts(g) for g in groups(strings(column(batch, "text")), 1 << 20)] or [np.zeros((0, len(sent.value.names) + 1))])
+            sums = np.concatenate([scorer.texts(g) for g in groups(strings(column(batch, "text")), BLOCK)] or [np.zeros((0, len(sent.value.names) + 1))])
             n = sums[:, -1]
             bits = -sums[:, :-1] / np.maximum(n, 1)[:, None]
             best = bits.argmin(axis=1)
