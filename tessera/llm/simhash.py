@@ -113,16 +113,43 @@ def wide_prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def drawn_masks(width: int) -> np.ndarray:
+    """DRAWN rows of WIDE words, in each row width bits drawn from all."""
+    draw = np.random.RandomState(SEED)
+    return np.array([np.packbits(np.isin(np.arange(BITS * WIDE), draw.permutation(BITS * WIDE)[:width]), bitorder="little").view("<u8") for _ in range(DRAWN)])
+
+
+def block_keys(fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Fingerprints, a row of WIDE words each, to their keys by each mask: a hash of the bits that the mask leaves."""
+    out = np.zeros((len(fp), len(masks)), np.uint64)
+    for w in range(WIDE):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + (fp[:, w : w + 1] & masks[:, w]) + _SEEDS[w])
+    return out
+
+
+def blocks(nodes: DataFrame, width: int) -> DataFrame:
+    """Nodes (key, node, fp) to (key, node, bands), bands being the keys of their blocks. Workers make them: as expressions,
+    the words of all masks take hundreds of MB of the driver's memory to plan."""
+    masks = drawn_masks(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = column(batch, "fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+            for at in range(0, len(batch), 1 << 13):
+                part = batch.slice(at, 1 << 13)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, DRAWN * len(part) + 1, DRAWN, dtype=np.int32)), pa.array(block_keys(fp[at : at + (1 << 13)], masks).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([column(part, "key"), column(part, "node"), bands], ["key", "node", "bands"])
+
+    return mapped(nodes.select("key", "node", "fp"), run, "key long, node long, bands array<long>")
+
+
 def block_pairs(nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (key, node, fp) to the pairs (ka, u, kb, v) that share a block and differ in at most RADIUS bits, and the members
     (t, band, key, node) of blocks that more than most share. A block is of as many bits as keep strangers apart: two more
     than the number of nodes has, at least 16, drawn from all."""
     nodes = cut_lineage(nodes)
     width = max(16, nodes.count().bit_length() + 1)
-    draw = np.random.RandomState(SEED)
-    masks = [np.packbits(np.isin(np.arange(BITS * WIDE), draw.permutation(BITS * WIDE)[:width]), bitorder="little").view("<i8").tolist() for _ in range(DRAWN)]
-    blocks = F.array(*(F.xxhash64(*(F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(words) if m)) for words in masks))
-    pairs, large = candidates(nodes.select("key", "node", blocks.alias("bands")), most)
+    pairs, large = candidates(blocks(nodes, width), most)
     a, b = (nodes.select(F.col("key").alias(k), F.col("fp").alias(x)) for k, x in (("ka", "fa"), ("kb", "fb")))
     bits = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(WIDE)), F.lit(0))
     return pairs.join(a, "ka").join(b, "kb").where(bits <= RADIUS).select("ka", "u", "kb", "v"), large

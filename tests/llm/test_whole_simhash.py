@@ -40,3 +40,30 @@ def test_blocks_alone_find_near_copies(spark, monkeypatch):
     nodes = minhash.prints(docs, wide=simhash.wide_prints).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"))
     pairs, large = simhash.block_pairs(nodes, 16)
     assert all(want[r.u] == want[r.v] for r in pairs.collect()) and large.count() > 60
+
+
+def test_blocks_are_of_the_masked_bits_and_planned_small(spark, monkeypatch):
+    """Two nodes share a block exactly if they agree in the bits of its mask. As expressions, the words of 64 masks filled
+    the driver's memory when Spark planned them."""
+    draw = np.random.default_rng(4)
+    fp = draw.integers(0, 2**63, (200, simhash.WIDE), dtype=np.uint64)
+    fp[100:] = fp[:100] ^ (np.uint64(1) << draw.integers(0, 64, (100, simhash.WIDE), dtype=np.uint64))
+    nodes = spark.createDataFrame([(k, k, row) for k, row in enumerate(fp.view(np.int64).tolist())], "key long, node long, fp array<long>")
+    asked, candidates = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda given, most: asked.append(given) or candidates(given, most))
+    pairs, _ = simhash.block_pairs(nodes, 16)
+    assert asked[0]._jdf.queryExecution().optimizedPlan().toJSON().count("BitwiseAnd") <= simhash.WIDE
+    bands = {r.key: r.bands for r in asked[0].collect()}
+    rnd = np.random.RandomState(simhash.SEED)
+    shared = set()
+    for t in range(simhash.DRAWN):
+        bits = rnd.permutation(64 * simhash.WIDE)[:16]
+        own = [tuple(int(x[b // 64]) >> int(b % 64) & 1 for b in bits) for x in fp]
+        for u in range(200):
+            for v in range(u + 1, 200):
+                assert (own[u] == own[v]) == (bands[u][t] == bands[v][t])
+                if own[u] == own[v]:
+                    shared.add((u, v))
+    far = lambda u, v: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[u], fp[v], strict=True))
+    assert {(r.u, r.v) for r in pairs.collect()} == {x for x in shared if far(*x) <= simhash.RADIUS} != set()
+    assert simhash.block_pairs(nodes.where("false"), 16)[0].count() == 0
