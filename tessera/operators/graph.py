@@ -6,6 +6,9 @@ count or maximum a round."""
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +32,34 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _written(df: DataFrame) -> Iterator[DataFrame]:
+    """df as Parquet in the shared folder, which is deleted afterwards: a checkpoint of long tables takes several times that."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Components whose vertices stay where they are instead of being dealt by their component: the largest ones.
+LARGEST = 1000
+
+
+def _chased(hooks: DataFrame) -> DataFrame:
+    """hooks (k, to), of which each to is a k, followed to their ends, by twice as many steps each time."""
+    hooks = _cut(hooks)
+    while True:
+        two = hooks.select(F.col("k").alias("to"), F.col("to").alias("next"))
+        hooks = _cut(hooks.join(two, "to").select("k", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        if hooks.where("moved").isEmpty():
+            return hooks.select("k", "to")
+        hooks = hooks.select("k", "to")
+
+
 @dataclass
 class Graph:
     vertices: DataFrame
@@ -171,20 +202,38 @@ class Graph:
         return ranks
 
     def weak_components(self) -> DataFrame:
-        """(id, component, size): component is the smallest id that can be reached either way. Labels travel along edges and
-        through the label's own label, so rounds grow with the logarithm of a component's diameter."""
-        both = _cut(self.along("both").select("u", "v").distinct())
-        labels = _cut(self.vertices.select("id", F.col("id").alias("c")))
-        while True:
-            low = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("c").alias("m"))
-            near = labels.join(low, labels["id"] == low["u"], "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
-            jump = near.select(F.col("id").alias("k"), F.col("c").alias("cc"))
-            new = _cut(near.join(jump, near["c"] == jump["k"], "left").select("id", F.least("c", "cc").alias("c"), "old"))
-            if new.where("c != old").isEmpty():
-                break
-            labels = new.select("id", "c")
-        sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-        return labels.join(sizes, "c").select("id", F.col("c").alias("component"), "size").orderBy(F.desc("size"), "component", "id")
+        """(id, component, size): component is the smallest id that can be reached either way. Vertices are numbered, so that
+        edges are pairs of numbers. In a round each vertex hooks to the smallest of its neighbours, and edges go on between the
+        ends of these hooks, of which there are half as many at most; so only the first rounds have many edges."""
+        ids = _cut(self.vertices.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.monotonically_increasing_id()))
+        # Numbers are what is looked up in, by parts that a task holds: edges aren't sorted for it.
+        number = lambda end, to: ids.where("id IS NOT NULL").select(F.col("id").alias(end), F.col("k").alias(to)).hint("shuffle_hash")
+        numbered = self.edges.where("src != dst").select("src", "dst").join(number("src", "u"), "src").select("u", "dst").join(number("dst", "v"), "dst").select("u", "v")
+        rounds = []
+        with _written(numbered) as edges:
+            while True:
+                low = _cut(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("p")))
+                if low.isEmpty():
+                    break
+                back = low.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+                # Hooks go to ever smaller neighbours' neighbours, hence end in two that hook to each other: the smaller one stays.
+                hooks = low.join(back, "p").select(F.col("u").alias("k"), F.when(F.col("pp") == F.col("u"), F.least("u", "p")).otherwise(F.col("pp")).alias("to"))
+                rounds.append(hooks := _chased(hooks))
+                moved = edges.join(hooks.select(F.col("k").alias("u"), F.col("to").alias("a")).hint("shuffle_hash"), "u").select("a", "v")
+                moved = moved.join(hooks.select(F.col("k").alias("v"), F.col("to").alias("b")).hint("shuffle_hash"), "v").where("a != b")
+                edges = _cut(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        roots = None
+        for hooks in reversed(rounds):
+            if roots is not None:
+                hooks = _cut(hooks.join(roots.select(F.col("k").alias("to"), F.col("to").alias("root")), "to", "left").select("k", F.coalesce("root", "to").alias("to")))
+            roots = hooks
+        found = _cut(ids.withColumn("root", F.col("k")) if roots is None else ids.join(roots, "k", "left").select("id", "n", F.coalesce("to", "k").alias("root")))
+        sizes = _cut(found.groupBy("root").agg(F.min("id").alias("component"), F.sum("n").alias("size")))
+        large = sizes.orderBy(F.desc("size"), "root").limit(LARGEST)
+        most = found.join(F.broadcast(large), "root")
+        rest = found.join(F.broadcast(large.select("root")), "root", "left_anti").join(sizes, "root")
+        rows = most.select("id", "component", "size", "n").unionAll(rest.select("id", "component", "size", "n"))
+        return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select("id", "component", "size").orderBy(F.desc("size"), "component", "id")
 
     def match(self) -> Pattern:
         return Pattern(self)

@@ -368,7 +368,8 @@ UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'PART_OF', 1.0 FROM n
 UNION ALL SELECT 'c:' || o_custkey, 's:' || l_suppkey, 'BOUGHT_FROM', count(*)::DOUBLE FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, weighted: bool = True) -> Graph:
+    """Not weighted: an edge for each line that was bought, of weight 1, for what asks only who is linked."""
     t = lambda n: read(spark, sf_dir, n)
     ident = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     labels = (("c:", "c_custkey", "customer"), ("s:", "s_suppkey", "supplier"), ("n:", "n_nationkey", "nation"), ("r:", "r_regionkey", "region"))
@@ -377,7 +378,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         part = t(name).select(ident(prefix, key).alias("id"), F.lit(name).alias("label"))
         vertices = part if vertices is None else vertices.unionByName(part)
     one = F.lit(1.0).alias("weight")
-    bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(ident("c:", "o_custkey").alias("src"), ident("s:", "l_suppkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = bought.groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("weight")) if weighted else bought.withColumn("weight", F.lit(1.0))
+    bought = bought.select(ident("c:", "o_custkey").alias("src"), ident("s:", "l_suppkey").alias("dst"), "weight")
     edges = t("customer").select(ident("c:", "c_custkey").alias("src"), ident("n:", "c_nationkey").alias("dst"), F.lit("LIVES_IN").alias("relation"), one)
     edges = edges.unionByName(t("supplier").select(ident("s:", "s_suppkey").alias("src"), ident("n:", "s_nationkey").alias("dst"), F.lit("BASED_IN").alias("relation"), one))
     edges = edges.unionByName(t("nation").select(ident("n:", "n_nationkey").alias("src"), ident("r:", "n_regionkey").alias("dst"), F.lit("PART_OF").alias("relation"), one))
@@ -434,7 +437,7 @@ def _wcc_sql(rounds: int) -> str:
 
 @query(_wcc_sql(12))
 def wcc(spark, sf_dir):
-    return graph(spark, sf_dir).weak_components()
+    return graph(spark, sf_dir, weighted=False).weak_components()
 
 
 @query(f"WITH {_GRAPH} SELECT id, coalesce(i, 0)::BIGINT AS in_degree, coalesce(o, 0)::BIGINT AS out_degree, (coalesce(i, 0) + coalesce(o, 0))::BIGINT AS total_degree FROM v LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id)")
