@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -186,20 +187,27 @@ class Graph:
         """(id, rank); vertices without outgoing edges deal their rank to all. Ends early once no rank moves by tolerance."""
         v = _cut(self.vertices.select("id").distinct())
         n = v.count()
-        out = self.along().groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
-        links = _cut(self.along().select("u", "v").join(out, "u"))
-        ranks = v.withColumn("rank", F.lit(1.0 / max(n, 1)))
-        for i in range(rounds):
-            dangling = ranks.join(out, ranks["id"] == out["u"], "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-            sums = links.join(ranks, links["u"] == ranks["id"]).groupBy("v").agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
-            base = (1.0 - damping) / n + damping * dangling / n
-            new = _cut(v.join(sums, v["id"] == sums["v"], "left").select("id", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank")))
-            if tolerance is not None:
-                moved = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved is None or moved < tolerance:
-                    return new
-            ranks = new
-        return ranks
+        # Links are dealt by their source once, and stay there: in a round only ranks and sums move.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        links = self.along().select("u", "v").repartition(parts, "u").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            out = links.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
+            degrees = _cut(v.join(out, v["id"] == out["u"], "left").select("id", "deg"))
+            ranks = degrees.withColumn("rank", F.lit(1.0 / max(n, 1)))
+            for i in range(rounds):
+                dangling = ranks.where("deg IS NULL").agg(F.sum("rank")).first()[0] or 0.0
+                shares = ranks.where("deg IS NOT NULL").select(F.col("id").alias("u"), (F.col("rank") / F.col("deg")).alias("share")).repartition(parts, "u").hint("shuffle_hash")
+                sums = links.join(shares, "u").groupBy("v").agg(F.sum("share").alias("s"))
+                base = (1.0 - damping) / n + damping * dangling / n
+                new = _cut(degrees.join(sums, degrees["id"] == sums["v"], "left").select("id", "deg", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank")))
+                if tolerance is not None:
+                    moved = new.join(ranks.select("id", F.col("rank").alias("old")), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                    if moved is None or moved < tolerance:
+                        return new.select("id", "rank")
+                ranks = new
+        finally:
+            links.unpersist()
+        return ranks.select("id", "rank")
 
     def weak_components(self) -> DataFrame:
         """(id, component, size): component is the smallest id that can be reached either way. Vertices are numbered, so that

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.operators.graph import Graph
 
 EDGE = "src string, dst string, relation string, weight double"
@@ -61,3 +62,24 @@ def test_components_move_edges_few_times(spark):
 def test_components_without_edges(spark):
     g = Graph(spark.createDataFrame([("a", "v"), ("b", "v")], "id string, label string"), spark.createDataFrame([], EDGE))
     assert [tuple(r) for r in g.weak_components().collect()] == [("a", "a", 1), ("b", "b", 1)]
+
+
+def test_ranks_write_no_links(spark, monkeypatch):
+    """Only vertices go to the shared folder, in each round."""
+    g, cut, rows = dense(spark, 22_000), graph._cut, []
+    monkeypatch.setattr(graph, "_cut", lambda df: rows.append((out := cut(df)).count()) or out)
+    g.pagerank(rounds=2)
+    assert len(rows) >= 3 and max(rows) == g.vertices.count()
+
+
+def test_ranks_of_odd_graphs(spark):
+    names = ["a", "b", "c", "d", "d", None]
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "c", 1), ("b", "gone", 1), ("gone", "a", 1), (None, "a", 1)]
+    own = sorted(set(names), key=str)
+    rank, deg = {v: 1 / len(own) for v in own}, {v: sum(n for a, _, n in edges if a == v) for v in own if v}
+    for _ in range(7):
+        lost = sum(r for v, r in rank.items() if not deg.get(v))
+        rank = {v: (0.15 + 0.85 * lost) / len(own) + 0.85 * sum(n * rank[a] / deg[a] for a, b, n in edges if v and b == v and a in deg) for v in own}
+    g = Graph(spark.createDataFrame([(v, "v") for v in names], "id string, label string"), spark.createDataFrame([(a, b, "R", 1.0) for a, b, n in edges for _ in range(n)], EDGE))
+    got = {r.id: r["rank"] for r in g.pagerank(rounds=7).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[v] - rank[v]) < 1e-12 for v in own)
