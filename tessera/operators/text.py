@@ -29,10 +29,38 @@ def searchable(df: DataFrame) -> DataFrame:
     return df.withColumn("__text", F.concat_ws(" ", *parts) if parts else F.lit(""))
 
 
+#: Keys that more than one row has, which all tasks may be told.
+SHARED = 100_000
+
+
+def _row_postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """term, key, tf and positions of each term of each row, by sorting a row's terms with their places where the row is."""
+    placed = F.sort_array(F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = df.select(F.col(key).alias("key"), placed.alias("ts")).withColumn("size", F.size("ts"))
+    new = lambda i: (i == 0) | (F.col("ts")[i]["w"] != F.col("ts")[F.greatest(i - 1, F.lit(0))]["w"])
+    rows = rows.withColumn("at", F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(0), F.col("size") - 1), new)))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array("size"))
+    # What is exploded has each term's own places only: a row's whole terms beside each of them would grow with their square.
+    terms = F.zip_with("at", ends, lambda a, z: F.struct(F.col("ts")[a]["w"].alias("term"), (z - a).cast("long").alias("tf"), F.transform(F.slice("ts", a + 1, z - a), lambda x: x["i"]).alias("positions")))
+    return rows.select("key", F.explode(terms).alias("p")).select("p.term", "key", "p.tf", "p.positions")
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf and positions of each term of each row."""
-    flat = df.select(F.col(key).alias("key"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return flat.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, key, tf and positions of each term of each key. Rows whose key no other row has, which is all of them as a rule,
+    are done where they are; only rows that share a key are dealt out, by their terms."""
+    shared = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
+    own = _row_postings(df, key, text)
+    n = shared.limit(SHARED + 1).count()
+    if not n:
+        return own
+    alone = None
+    if n <= SHARED:
+        some = F.broadcast(shared.select(F.col("key").alias("__key")))  # SHARED keys at most
+        both = df[key].eqNullSafe(F.col("__key"))
+        alone = _row_postings(df.join(some, both, "left_anti"), key, text)
+        own = _row_postings(df.join(some, both, "left_semi"), key, text)
+    met = own.groupBy("term", "key").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return met if alone is None else alone.unionByName(met)
 
 
 def bm25(df: DataFrame, query: str, k: int = 10, key: str = "doc_id", text: str = "text", fuzzy: bool = False) -> DataFrame:

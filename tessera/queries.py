@@ -351,8 +351,7 @@ def bm25_fuzzy(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS term FROM ({_TERMS})) GROUP BY 1")
 def token_df(spark, sf_dir):
-    flat = read(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return flat.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n"))
+    return text.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("key").alias("df"), F.sum("tf").alias("n"))
 
 
 @query(f"SELECT term, doc_id AS key, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM (SELECT doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM ({_TERMS})) GROUP BY 1, 2")

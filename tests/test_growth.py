@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, text
 from tessera.operators.graph import Graph
 
 EDGE = "src string, dst string, relation string, weight double"
@@ -83,3 +83,17 @@ def test_ranks_of_odd_graphs(spark):
     g = Graph(spark.createDataFrame([(v, "v") for v in names], "id string, label string"), spark.createDataFrame([(a, b, "R", 1.0) for a, b, n in edges for _ in range(n)], EDGE))
     got = {r.id: r["rank"] for r in g.pagerank(rounds=7).collect()}
     assert got.keys() == rank.keys() and all(abs(got[v] - rank[v]) < 1e-12 for v in own)
+
+
+def test_postings_of_odd_rows(spark, monkeypatch):
+    rows = [(1, "zeta alpha zeta"), (1, "alpha the beta"), (2, ""), (3, None), (4, "zeta"), (None, "beta beta"), (None, "beta")]
+    want = [("alpha", 1, 2, [0, 1]), ("beta", 1, 1, [1]), ("beta", None, 3, [0, 0, 1]), ("zeta", 1, 2, [0, 2]), ("zeta", 4, 1, [0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (text.SHARED, 1):
+        monkeypatch.setattr(text, "SHARED", most)
+        assert sorted(map(str, (tuple(r) for r in text.postings(df, "doc_id", "text").collect()))) == sorted(map(str, want))
+
+
+def test_postings_stay_where_rows_are(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(1000))))).alias("text"))
+    assert moved(spark, lambda: text.postings(df, "doc_id", "text")) < 500_000
