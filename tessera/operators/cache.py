@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Queries that meet the entries at a time.
 BLOCK = 4096
+#: Entries that a block of queries meets at a time in a task: with BLOCK it bounds a task's matrices to 8 MB each.
+TILE = 256
 
 
 def nearest_answers(cache: DataFrame, queries: DataFrame, threshold: float = 0.90, now: Column | None = None, others: bool = False) -> DataFrame:
@@ -38,6 +40,26 @@ def nearest_answers(cache: DataFrame, queries: DataFrame, threshold: float = 0.9
     return best.where(F.col("b.similarity") >= threshold).select("query_id", "entry_id", F.col("b.similarity").alias("similarity"))
 
 
+def _meet(batches: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, others: bool) -> pd.DataFrame:
+    """The best of all entries for each of a block's queries."""
+    high, who = np.full(len(ids), -2.0), np.zeros(len(ids), object)
+    for batch in (b.iloc[k : k + TILE] for b in batches for k in range(0, len(b), TILE)):
+        v = np.stack(batch["vector"].to_list()).astype(np.float64)
+        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+        names = batch["entry_id"].to_numpy()
+        order = np.argsort(names, kind="stable")
+        names, s = names[order], q @ v[order].T
+        np.clip(s, -1, 1, out=s)
+        if others:
+            s[ids[:, None] == names[None, :]] = -2
+        at = s.argmax(axis=1)
+        top = s[np.arange(len(ids)), at]
+        better = (top > high) | ((top == high) & (top > -2) & (names[at] < who))
+        high[better], who[better] = top[better], names[at[better]]
+    some = high > -2
+    return pd.DataFrame({"query_id": ids[some], "entry_id": list(who[some]), "similarity": high[some]})
+
+
 def _best(live: DataFrame, part: DataFrame, others: bool, kind: str, entry: str) -> DataFrame:
     rows = part.select("query_id", "vector").collect()  # a block of the stated set
     ids = np.array([r["query_id"] for r in rows])
@@ -46,22 +68,7 @@ def _best(live: DataFrame, part: DataFrame, others: bool, kind: str, entry: str)
     sent = live.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        high, who = np.full(len(ids), -2.0), np.zeros(len(ids), object)
-        for batch in (b.iloc[k : k + 2048] for b in batches for k in range(0, len(b), 2048)):
-            v = np.stack(batch["vector"].to_list()).astype(np.float64)
-            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
-            names = batch["entry_id"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            names, s = names[order], np.clip(q @ v[order].T, -1, 1)
-            if others:
-                s[ids[:, None] == names[None, :]] = -2
-            at = s.argmax(axis=1)
-            top = s[np.arange(len(ids)), at]
-            better = (top > high) | ((top == high) & (top > -2) & (names[at] < who))
-            high[better], who[better] = top[better], names[at[better]]
-        some = high > -2
-        yield pd.DataFrame({"query_id": ids[some], "entry_id": list(who[some]), "similarity": high[some]})
+        yield _meet(batches, *sent.value, others)
 
     return live.select("entry_id", "vector").mapInPandas(run, f"query_id {kind}, entry_id {entry}, similarity double")
 

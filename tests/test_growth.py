@@ -1,9 +1,12 @@
 """What queries move and hold for a row of their input, and the same results on odd inputs."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, text
+from tessera.operators import cache, graph, text
 from tessera.operators.graph import Graph
 
 EDGE = "src string, dst string, relation string, weight double"
@@ -97,3 +100,17 @@ def test_postings_of_odd_rows(spark, monkeypatch):
 def test_postings_stay_where_rows_are(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(1000))))).alias("text"))
     assert moved(spark, lambda: text.postings(df, "doc_id", "text")) < 500_000
+
+
+def test_answers_hold_small_matrices():
+    rnd = np.random.default_rng(7)
+    q, v = rnd.normal(size=(cache.BLOCK, 8)), rnd.normal(size=(6000, 8)).astype("float32")
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    batch = pd.DataFrame({"entry_id": np.arange(6000), "vector": list(v)})
+    tracemalloc.start()
+    got = cache._meet(iter([batch]), np.arange(cache.BLOCK), q, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(float).T
+    s[np.arange(cache.BLOCK), np.arange(cache.BLOCK)] = -2
+    assert most < 30e6 and (got.entry_id.to_numpy(int) == s.argmax(axis=1)).all()
